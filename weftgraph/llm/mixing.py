@@ -26,19 +26,30 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ship
 
 WEIGHTS, FACTOR, MAX_EPOCHS, SEED, MAX_PATTERNS = (3, 1, 2), 1.5, 2, 17, 100_000
-WORD = "[^\\x20\\x09-\\x0D]++"
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def word_count(text: pa.Scalar) -> int:
+    """Words ``[^\\x20\\x09-\\x0D]+``: bytes that aren't ASCII white space after one that is, or first."""
+    if not text.is_valid:
+        return 0
+    space = _SPACE[np.frombuffer(text.as_buffer(), np.uint8)]
+    return int(len(space) and not space[0]) + int(np.count_nonzero(space[:-1] & ~space[1:]))
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([word_count(t) for t in b.column(b.num_columns - 1)], pa.int64())], names=[*b.schema.names[:-1], "size"])
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, factor: float = FACTOR, most: float = MAX_EPOCHS) -> list[float]:
@@ -115,9 +126,11 @@ def mix(
     ``taken``: words that the mix takes, repeats counted. ``copies``: the nearest number of whole copies.
     """
     spark = docs.sparkSession
+    ship(spark)
     membership = F.array("source") if membership is None else F.array_sort(F.array_distinct(membership))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))))
-    sized = docs.select("doc_id", word_count(F.col("text")).alias("size"), membership.alias("members"))
+    slim = docs.select("doc_id", membership.alias("members"), F.col("text").cast("string").alias("text"))
+    sized = slim.mapInArrow(_sizes, f"doc_id {slim.schema[0].dataType.simpleString()}, members {slim.schema[1].dataType.simpleString()}, size long")
     sized = materialize(sized.withColumn("pattern", F.to_json(F.struct("members"))).withColumn("key", key), "mix-sized")
 
     found = sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
