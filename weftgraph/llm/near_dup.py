@@ -6,9 +6,13 @@ the smallest and the largest value are kept, so ``functions`` hash evaluations g
 only once the full sets confirm it, so bands decide recall alone: at the default 28 bands of
 4 rows a pair at a Jaccard similarity of exactly 0.8 is missed with a probability of 4e-7.
 
-No bucket is expanded into all its pairs at first. Every member is compared with one leader of its
-bucket; members of different components are then compared in further rounds until no pair of one
-bucket is left untested across components, so that no link that could join two components is lost.
+No bucket is expanded into all its pairs. Shingles that no other candidate class holds can't be common
+to any pair, so the rest bounds every intersection from above; classes that can't reach the threshold by
+that bound leave at once, and it is tested on each pair before any set is fetched. Every member is then
+compared with the leader of its bucket, the member with the fewest rare shingles: the likely origin of its
+copies. Pairs of different components that are left are either named by a shingle that two or three
+classes hold, or share none of those, which tightens the bound until hardly any pair but true links
+passes. All pairs that pass are compared, so no link that could join two components is lost.
 
 Defined cases: null and empty texts have an empty set and no link; a text of fewer words than a
 shingle has its whole word sequence as its only shingle; documents of equal sets form one class,
@@ -121,12 +125,18 @@ def _setter(shingle: int):
     return sets
 
 
+def _ordered(pairs: DataFrame, x: str, nx: str, y: str, ny: str) -> DataFrame:
+    """(a, b, na, nb) with a < b."""
+    first = F.col(x) < F.col(y)
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(first, F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(first, F.col(ny)).otherwise(F.col(nx)).alias("nb"))
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, comp) of every node of the undirected ``edges`` (a, b); comp is the smallest node reachable.
 
     Smallest-label propagation with pointer jumping; each round is written to the shared folder.
     """
-    both = materialize(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{label}-edges")
+    both = materialize(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")), f"{label}-edges")
     state = materialize(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("l")), f"{label}-0")
     step = 0
     while True:
@@ -143,14 +153,11 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
-    id_col: str = "doc_id", text_col: str = "text", pair_budget: int = 20, pivot_rounds: int = 6,
+    id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Two documents are linked when ``100 * |A & B| >= percent * |A | B|`` on full sets.
-    ``pair_budget``: while a bucket's untested pairs across components number more than so many times
-    the bucket members, another leader is tried (``pivot_rounds`` times at most); then every remaining
-    pair is compared, however many there are.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -162,17 +169,33 @@ def near_duplicates(
     classes = materialize(classes, "classes")
 
     banded = classes.select("cls", "n", F.explode("bands").alias("key"))
-    heads = banded.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    members = materialize(banded.join(heads, "key"), "members")
-    sized = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    star = members.filter("cls <> head.cls").select(F.col("head.cls").alias("a"), F.col("cls").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
-    tested = materialize(star.filter(sized).distinct(), "pairs")
-
-    inside = members.select("cls").distinct()
-    ids = classes.join(inside, "cls", "left_semi").select(F.col("rid").alias("doc_id")).distinct()
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    met = materialize(banded.join(shared, "key"), "met")
+
+    ids = classes.join(met.select("cls").distinct(), "cls", "left_semi").select(F.col("rid").alias("doc_id")).distinct()
     texts = slim.join(ids, slim["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
     sets = materialize(texts.mapInArrow(_setter(shingle), "cls binary, shingles array<long>").dropDuplicates(["cls"]), "sets")
 
+    # One row a shingle: how many candidate classes hold it and, for up to three, which (the third from the xor).
+    # s: shingles that any other class holds; s3: those that more than three hold.
+    held = sets.select(F.xxhash64("cls").alias("h"), F.explode("shingles").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor("h").alias("x3")).filter("c <= 3")
+    few = F.when(F.col("c") == 1, F.array("lo")).when(F.col("c") == 2, F.array("lo", "hi")).otherwise(F.array("lo", "hi", F.expr("x3 ^ lo ^ hi")))
+    held = held.select("c", F.array_sort(few).alias("by"))
+    rare = held.groupBy("by", "c").agg(F.count(F.lit(1)).alias("m"))
+    rare = materialize(rare, "rare")
+    own = rare.select("c", "m", F.explode("by").alias("h")).groupBy("h").agg(F.sum("m").alias("m3"), F.sum(F.expr("if(c = 1, m, 0)")).alias("m1"))
+    most = sets.select("cls", F.size("shingles").cast("long").alias("n"), F.xxhash64("cls").alias("h")).join(own, "h", "left")
+    most = most.select("cls", "h", (F.col("n") - F.coalesce("m1", F.lit(0))).alias("s"), (F.col("n") - F.coalesce("m3", F.lit(0))).alias("s3"))
+    members = materialize(met.join(most, "cls").filter(f"100 * s >= {percent} * n"), "members")
+
+    def reach(na: str, sa: str, nb: str, sb: str) -> str:
+        return f"{100 + percent} * least({sa}, {sb}) >= {percent} * ({na} + {nb})"
+
+    # the leader of a bucket is the member of which others hold the largest part: the likely origin of its copies
+    heads = members.groupBy("key").agg(F.max(F.struct(F.expr("(s + s3) / n").alias("part"), "cls", "n", "s")).alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    star = members.join(heads, "key").filter("cls <> head.cls").filter(reach("n", "s", "head.n", "head.s"))
+    tested = materialize(_ordered(star, "cls", "n", "head.cls", "head.n").distinct(), "pairs")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
@@ -180,32 +203,25 @@ def near_duplicates(
 
     links = materialize(confirmed(tested), "links")
     comps = components(links)
-    for step in range(pivot_rounds + 1):
-        placed = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
-        split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        rest = materialize(placed.join(split, "key", "left_semi"), f"rest-{step}")
-        by_comp = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        by_key = by_comp.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.expr("double(m) * m")).alias("mm"))
-        total = by_key.agg(F.sum(F.expr("(double(m) * m - mm) / 2")).alias("pairs"), F.sum("m").alias("m")).first()
-        if not total["m"]:
-            break
-        last = step == pivot_rounds or total["pairs"] <= max(100_000, pair_budget * total["m"])
-        x = rest.select("key", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-        if not last:  # one other leader in each bucket
-            pick = F.xxhash64("x", F.lit(step))
-            x = x.groupBy("key").agg(F.min_by(F.struct("x", "nx", "cx"), pick).alias("p")).select("key", "p.*")
-        near = x.join(rest, "key").filter(F.col("cx") != F.col("comp")).filter(f"100 * least(nx, n) >= {percent} * greatest(nx, n)")
-        if last:
-            near = near.filter("x < cls")
-        fresh = near.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"), F.when(F.col("x") < F.col("cls"), F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(F.col("x") < F.col("cls"), F.col("n")).otherwise(F.col("nx")).alias("nb")).distinct()
-        fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), f"fresh-{step}")
-        more = materialize(confirmed(fresh), f"links-{step}")
-        if not more.isEmpty():
-            links = links.union(more)
-            comps = components(links, f"cc{step}")
-        if last:
-            break
-        tested = tested.union(fresh)
+    # What is left: pairs of different components in one bucket. Either they share no shingle that at most three
+    # classes hold, and then s3 bounds what they share, or such a shingle names the pair.
+    placed = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    rest = materialize(placed.join(split, "key", "left_semi").join(classes.select("cls", "bands"), "cls"), "rest")
+    other = rest.select("key", *(F.col(c).alias(f"{c}_x") for c in ("cls", "n", "s3", "comp", "bands")))
+    apart = (F.col("comp_x") != F.col("comp")) & (F.col("cls_x") < F.col("cls"))
+    once = F.col("key") == F.array_min(F.array_intersect("bands_x", "bands"))  # of the buckets that a pair shares
+    near = other.join(rest.drop("h", "s"), "key").filter(apart).filter(reach("n_x", "s3_x", "n", "s3")).filter(once)
+    near = _ordered(near, "cls_x", "n_x", "cls", "n")
+    each = rest.dropDuplicates(["cls"]).select("h", "cls", "n", "s", "comp")
+    two = F.expr("if(c = 2, array(struct(by[0] AS x, by[1] AS y)), array(struct(by[0] AS x, by[1] AS y), struct(by[0] AS x, by[2] AS y), struct(by[1] AS x, by[2] AS y)))")
+    named = rare.filter("c > 1").select(F.explode(two).alias("p")).select("p.x", "p.y").distinct()
+    named = named.join(each.select(F.col("h").alias("y"), "cls", "n", "s", "comp"), "y").join(each.select(F.col("h").alias("x"), *(F.col(c).alias(f"{c}_x") for c in ("cls", "n", "s", "comp"))), "x")
+    named = _ordered(named.filter(F.col("comp_x") != F.col("comp")).filter(reach("n_x", "s_x", "n", "s")), "cls_x", "n_x", "cls", "n")
+    fresh = materialize(near.union(named).distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+    more = materialize(confirmed(fresh), "links-more")
+    if not more.isEmpty():
+        comps = components(links.union(more), "cc-more")
 
     grouped = classes.select("cls", "rid").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = grouped.groupBy("comp").agg(F.min("rid").alias("component_id"))
