@@ -124,9 +124,9 @@ for _name, _filters, _where in (
     ("lk_gte", {"size__gte": 40}, "size >= 40"),
     ("lk_lt", {"retailprice__lt": 1000}, "retailprice < 1000"),
     ("lk_lte", {"retailprice__lte": 1000.5}, "retailprice <= 1000.5"),
-    ("lk_startswith", {"name__startswith": "p"}, "starts_with(name, 'p')"),
-    ("lk_istartswith", {"name__istartswith": "P"}, "starts_with(lower(name), 'p')"),
-    ("lk_endswith", {"name__endswith": "1"}, "ends_with(name, '1')"),
+    ("lk_startswith", {"name__startswith": "red"}, "starts_with(name, 'red')"),
+    ("lk_istartswith", {"name__istartswith": "BLUE"}, "starts_with(lower(name), 'blue')"),
+    ("lk_endswith", {"name__endswith": "ring"}, "ends_with(name, 'ring')"),
     ("lk_iendswith", {"type__iendswith": "l"}, "ends_with(lower(type), 'l')"),
     ("lk_and", {"size__gt": 10, "size__lt": 20, "brand__contains": "1"}, "size > 10 AND size < 20 AND contains(brand, '1')"),
     ("lk_type_mismatch", {"name__gt": 1}, "false"),
