@@ -54,6 +54,7 @@ LABELLED = (
     (85, 0.0, 4, 0.0, 76, 0.0, 0, 0, 0, 1), (40, 0.05, 60, 0.0, 33, 0.0, 0, 0, 0, 1), (18, 0.0, 70, 0.0, 44, 0.0, 0, 0, 0, 1), (16, 0.1, 0, 0.0, 90, 0.0, 0, 0, 0, 1), (8, 0.0, 2, 1.0, 62, 0.0, 0, 0, 1, 1), (6, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 1),
     (7, 0.0, 45, 0.0, 120, 0.0, 0, 0, 1, 1), (30, 0.0, 7, 0.0, 5, 0.0, 0, 0, 0, 1), (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (4, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (1, 1.0, 20, 0.0, 1, 1.0, 0, 0, 0, 0), (12, 0.9, 8, 1.0, 10, 0.9, 0, 0, 0, 0),
     (3, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (5, 0.0, 3, 0.0, 4, 1.0, 0, 0, 0, 0), (2, 0.0, 1, 0.0, 0, 0.0, 0, 0, 0, 0), (35, 0.8, 4, 1.0, 30, 0.7, 0, 0, 0, 0), (4, 0.0, 0, 0.0, 3, 1.0, 0, 0, 1, 0), (6, 1.0, 60, 0.0, 5, 1.0, 0, 0, 0, 0),
+    (28, 0.0, 30, 0.0, 1, 1.0, 0, 0, 0, 1), (45, 0.05, 38, 0.0, 2, 1.0, 0, 0, 0, 1), (24, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1), (60, 0.1, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (5, 0.0, 3, 1.0, 29, 0.0, 0, 0, 1, 1), (3, 0.0, 0, 0.0, 25, 0.0, 0, 0, 1, 1),
 )
 
 
