@@ -1,0 +1,86 @@
+"""Mixing: targets, flow, the query against its SQL and brute force, defined cases."""
+
+import itertools
+import re
+
+import pytest
+
+from weftgraph.llm import mixing, queries
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_query_against_sql(spark, sf_dir, same_rows):
+    same_rows(queries.op1_source_mix(spark, sf_dir), mixing.SQL, sf_dir)
+
+
+def test_targets():
+    assert mixing.targets([10, 10, 10]) == [20, 25 / 3, 50 / 3]
+    assert mixing.targets([]) == []
+    assert mixing.targets([0, 0]) == [0, 0]
+    for sizes in itertools.product((0, 1, 7, 100), repeat=4):
+        got = mixing.targets(sizes)
+        assert sum(got) == pytest.approx(1.5 * sum(sizes))
+        assert all(t <= 2 * s + 1e-9 for t, s in zip(got, sizes, strict=True))
+        free = [t / w for t, s, w in zip(got, sizes, (3, 1, 2, 3), strict=True) if t < 2 * s - 1e-9]
+        assert not free or max(free) == pytest.approx(min(free))
+
+
+def test_flow_meets_quotas_at_least_cost():
+    """Against all integer flows of a small network."""
+    capacity, members, quotas = [3, 2, 2], [[0], [0, 1], [1]], [4, 5]
+    flow = mixing.route(capacity, members, quotas)
+
+    def cost(f):
+        return sum(max(0, sum(r) - c) for r, c in zip(f, capacity, strict=True))
+
+    assert [sum(r[m.index(s)] for r, m in zip(flow, members, strict=True) if s in m) for s in range(2)] == quotas
+    assert all(sum(r) <= 2 * c for r, c in zip(flow, capacity, strict=True))
+    best = min(
+        cost([[a], [b, c], [d]])
+        for a, b, c, d in itertools.product(range(7), range(5), range(5), range(5))
+        if a + b == 4 and c + d == 5 and a <= 6 and b + c <= 4 and d <= 4
+    )
+    assert cost(flow) == best
+
+
+def test_overlapping_sources(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "w " * 10, ["a"] if i < 6 else ["b", "a"] if i < 9 else ["b"]) for i in range(12)], "doc_id long, text string, sources array<string>")
+    rows = mixing.mix(docs, membership=F.col("sources"), weights=(1, 1)).collect()
+    assert sum(r["taken"] for r in rows) == 180
+    assert all(r["taken"] <= 20 for r in rows)
+    assert {tuple(r["sources"]) for r in rows} == {("a",), ("a", "b"), ("b",)}
+
+
+def test_defined_cases(odd_docs, no_docs, clashing, as_set):
+    cols = ("doc_id", "size", "source_size", "target", "taken")
+    got = mixing.mix(odd_docs).select(*cols)
+    rows = got.collect()
+    assert len(rows) == odd_docs.count()
+    words = sum(len(WORD.findall(r["text"] or "")) for r in odd_docs.collect())
+    assert sum(r["size"] for r in rows) == words
+    assert sum(r["taken"] for r in rows) == pytest.approx(1.5 * words, abs=4)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    assert as_set(got) == as_set(mixing.mix(odd_docs.repartition(5)).select(*cols)) == as_set(mixing.mix(clashing(odd_docs)).select(*cols))
+    assert mixing.mix(no_docs).count() == 0
+    assert mixing.apply_mix(no_docs).columns == no_docs.columns
+
+
+def test_apply_mix_repeats_whole_rows(odd_docs, clashing):
+    docs = clashing(odd_docs.filter("doc_id NOT IN (10)"))
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"]}
+    got = out.collect()
+    assert {i: sum(r["doc_id"] == i for r in got) for i in copies} == copies
+    assert len(got) == sum(copies.values())
+    assert all(r["text"] == texts[r["doc_id"]] for r in got)
+
+
+def test_hot_source_is_cut_into_buckets(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', int(id % 7)) AS text", "if(id % 10 < 8, 'hot', 's' || id % 10) AS source")
+    few, many = (sorted(map(tuple, mixing.mix(docs, bucket_rows=n).select("doc_id", "taken").collect())) for n in (10, 10_000))
+    assert few == many
