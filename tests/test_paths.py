@@ -1,0 +1,102 @@
+"""Shortest paths against a heap search of plain Python."""
+
+import heapq
+import random
+
+import pytest
+
+from weftgraph.errors import UnreachableNode
+from weftgraph.graph import PropertyGraph
+from weftgraph.operators import paths
+
+
+def by_heap(edges, source):
+    """(distance, predecessor) of each node; ties to the least (distance, id) of the predecessor."""
+    dist, heap = {source: (0, (-1, -1))}, [(0, source)]
+    done = set()
+    while heap:
+        d, v = heapq.heappop(heap)
+        if v in done:
+            continue
+        done.add(v)
+        for s, t, w in edges:
+            if s == v and t not in done and (t not in dist or (d + w, (d, v)) < dist[t]):
+                dist[t] = (d + w, (d, v))
+                heapq.heappush(heap, (d + w, t))
+    return dist
+
+
+@pytest.fixture(scope="module")
+def roads(spark):
+    rng = random.Random(11)
+    g = PropertyGraph.empty(spark)
+    g.bulk_add_node([{"x": float(i)} for i in range(15)])
+    edges = [(rng.randrange(14), rng.randrange(14), rng.randrange(1, 6)) for _ in range(34)]
+    g.bulk_add_edge_by_ids([(s, t, {"time": w}) for s, t, w in edges])
+    return g, edges
+
+
+def test_distances_and_paths(roads):
+    g, edges = roads
+    want = by_heap(edges, 0)
+    dist, path = paths.single_source_dijkstra(g, g.v(0), weight="time")
+    assert dist == {i: d for i, (d, _) in want.items()}
+    for i, (_, (_, pred)) in want.items():
+        assert path[i][-1] == i
+        assert (path[i][-2] if len(path[i]) > 1 else -1) == pred
+    assert 14 not in dist
+
+
+def test_target_cutoff_and_unit_weights(roads):
+    g, edges = roads
+    want = by_heap(edges, 0)
+    far = max(want, key=lambda i: (want[i][0], i))
+    cost, path = paths.dijkstra_path(g, g.v(0), g.v(far), weight="time")
+    assert cost == want[far][0]
+    assert path[0].get_id() == 0
+    assert path[-1].get_id() == far
+    unit = by_heap([(s, t, 1) for s, t, _ in edges], 0)
+    assert paths.single_source_dijkstra(g, g.v(0))[0] == {i: d for i, (d, _) in unit.items()}
+    near = paths.single_source_dijkstra(g, g.v(0), cutoff=4, weight="time")[0]
+    assert near == {i: d for i, (d, _) in want.items() if d <= 4}
+    some = paths.single_source_dijkstra(g, g.v(0), g.v(far), weight="time")[0]
+    assert some == {i: d for i, (d, _) in want.items() if (d, i) <= (want[far][0], far)}
+    assert paths.dijkstra_path(g, g.v(3), g.v(3)) == (0, [g.v(3)])
+    with pytest.raises(UnreachableNode):
+        paths.dijkstra_path(g, g.v(0), g.v(14), weight="time")
+    with pytest.raises(UnreachableNode):
+        paths.dijkstra_path(g, g.v(0), g.v(far), cutoff=want[far][0] - 1, weight="time")
+
+
+def test_astar(roads):
+    g, edges = roads
+    want = by_heap(edges, 0)
+    far = max(want, key=lambda i: (want[i][0], i))
+    ahead = lambda data, goal: 0.01 * abs(data["x"] - goal["x"])
+    for h in (None, ahead):
+        route = [n.get_id() for n in paths.astar_path(g, g.v(0), g.v(far), h, "time")]
+        assert sum(min(w for s, t, w in edges if (s, t) == hop) for hop in zip(route, route[1:], strict=False)) == want[far][0]
+        assert paths.astar_path_length(g, g.v(0), g.v(far), h, "time") == want[far][0]
+    with pytest.raises(UnreachableNode):
+        paths.astar_path(g, g.v(0), g.v(14), ahead, "time")
+
+
+def test_bad_weights(spark):
+    g = PropertyGraph.empty(spark)
+    g.bulk_add_node([{}, {}, {}])
+    g.bulk_add_edge_by_ids([(0, 1, {"t": 2}), (1, 0, {"t": -7})])
+    with pytest.raises(ValueError, match="negative"):
+        paths.single_source_dijkstra(g, g.v(0), weight="t")
+    with pytest.raises(KeyError):
+        paths.single_source_dijkstra(g, g.v(0), weight="nope")
+    g.add_edge_by_ids(0, 2)
+    with pytest.raises(KeyError):
+        paths.dijkstra_path(g, g.v(0), g.v(2), weight="t")
+
+
+def test_zero_weights_make_no_cycle(spark):
+    g = PropertyGraph.empty(spark)
+    g.bulk_add_node([{}] * 4)
+    g.bulk_add_edge_by_ids([(0, 1, {"t": 1}), (1, 2, {"t": 0}), (2, 1, {"t": 0}), (2, 3, {"t": 0}), (3, 2, {"t": 0})])
+    cost, path = paths.dijkstra_path(g, g.v(0), g.v(3), weight="t")
+    assert (cost, [n.get_id() for n in path]) == (1, [0, 1, 2, 3])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidExpression
+from . import variant
 from .validate import FIELD
 
 Resolver = Callable[[str], tuple[Column, T.DataType] | None]
@@ -48,6 +49,8 @@ def _leaf(col: Column, t: T.DataType, what: str) -> tuple[Column, str]:
         return col.cast("long"), "int"
     if isinstance(t, T.NumericType):
         return col.cast("double"), "float"
+    if isinstance(t, T.VariantType):
+        return variant.number(col), "float"
     raise InvalidExpression(f"{what} is no number")
 
 

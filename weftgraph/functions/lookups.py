@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidLookup, SubLookupNotImplemented
+from . import variant
 
 LOOKUPS = frozenset("exact iexact contains icontains in gt gte lt lte startswith istartswith endswith iendswith isnull".split())
 
@@ -47,6 +48,8 @@ def _ok(col: Column, t: T.DataType) -> Column:
 def exact(col: Column, t: T.DataType, v: object) -> Column:
     if v is None or (isinstance(v, float) and v != v):
         return F.lit(False)
+    if isinstance(t, T.VariantType):
+        return _variant_exact(col, v)
     if isinstance(v, (bool, int, float)):
         if not _number(t):
             return F.lit(False)
@@ -71,6 +74,16 @@ def exact(col: Column, t: T.DataType, v: object) -> Column:
     return F.lit(False)
 
 
+def _variant_exact(col: Column, v: object) -> Column:
+    if isinstance(v, (bool, int, float)):
+        if isinstance(v, int) and -(2**63) <= v < 2**63:
+            return F.coalesce(variant.whole(col) == int(v), variant.number(col) == float(v), F.lit(False))
+        return F.coalesce(variant.number(col) == float(v), F.lit(False))
+    if isinstance(v, str):
+        return F.coalesce(variant.text(col) == v, F.lit(False))
+    return F.coalesce(F.to_json(col) == variant.text_of(v), F.lit(False)) if isinstance(v, (list, Mapping)) else F.lit(False)
+
+
 def _same(col: Column, t: T.DataType, v: object) -> Column:
     """Inside structures null equals null."""
     return col.isNull() if v is None else F.coalesce(exact(col, t, v), F.lit(False))
@@ -78,6 +91,10 @@ def _same(col: Column, t: T.DataType, v: object) -> Column:
 
 def _order(col: Column, t: T.DataType, v: object, op: str) -> Column:
     how = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}[op]
+    if isinstance(t, T.VariantType):
+        if isinstance(v, (bool, int, float)) and v == v:
+            return F.coalesce(how(variant.number(col), F.lit(float(v))), F.lit(False))
+        return F.coalesce(how(variant.text(col), F.lit(v)), F.lit(False)) if isinstance(v, str) else F.lit(False)
     if isinstance(v, (bool, int, float)) and _number(t) and v == v:
         return how(_plain(col, t), F.lit(int(v) if isinstance(v, bool) else v)) & _ok(col, t)
     if isinstance(v, str) and isinstance(t, T.StringType):
@@ -90,6 +107,11 @@ def _order(col: Column, t: T.DataType, v: object, op: str) -> Column:
 
 
 def _contains(col: Column, t: T.DataType, v: object) -> Column:
+    if isinstance(t, T.VariantType):
+        found = F.exists(variant.items(col), lambda x: _variant_exact(x, v)) if v is not None else F.lit(False)
+        if isinstance(v, str):
+            return F.coalesce(variant.text(col).contains(v), F.array_contains(variant.keys(col), v), found, F.lit(False))
+        return F.coalesce(found, F.lit(False))
     if isinstance(t, T.StringType):
         return col.contains(F.lit(v)) if isinstance(v, str) else F.lit(False)
     if isinstance(t, T.ArrayType):
@@ -105,7 +127,8 @@ def _contains(col: Column, t: T.DataType, v: object) -> Column:
 
 def _within(col: Column, t: T.DataType, v: object) -> Column:
     if isinstance(v, str):
-        return F.lit(v).contains(col) if isinstance(t, T.StringType) else F.lit(False)
+        col = variant.text(col) if isinstance(t, T.VariantType) else col
+        return F.coalesce(F.lit(v).contains(col), F.lit(False)) if isinstance(t, (T.StringType, T.VariantType)) else F.lit(False)
     if not isinstance(v, (list, tuple, set, frozenset, Mapping)):
         return F.lit(False)
     values = list(v)
@@ -134,8 +157,9 @@ def predicate(col: Column | None, t: T.DataType | None, lookup: str, v: object)
         return _order(col, t, v, lookup)
     if lookup == "contains":
         return _contains(col, t, v)
-    if not isinstance(t, T.StringType) or not isinstance(v, str):
+    if not isinstance(t, (T.StringType, T.VariantType)) or not isinstance(v, str):
         return F.lit(False)
+    col = variant.text(col) if isinstance(t, T.VariantType) else col
     fold = lookup.startswith("i")
     own, other, name = (F.lower(col), F.lower(F.lit(v)), lookup[1:]) if fold else (col, F.lit(v), lookup)
     return {"exact": lambda: own == other, "contains": lambda: own.contains(other), "startswith": lambda: own.startswith(other), "endswith": lambda: own.endswith(other)}[name]()

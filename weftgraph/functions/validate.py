@@ -1,4 +1,8 @@
-"""Which field names and values entities may hold."""
+"""Which field names and values entities may hold, and the column type that holds them.
+
+A field is a typed column where its values have one type; where entities disagree (a number here, text there), the
+column is a VARIANT.
+"""
 
 from __future__ import annotations
 
@@ -35,6 +39,12 @@ def check_data(data: object) -> None:
         check_value(v)
 
 
+def _whole(t: T.DataType) -> T.DataType:
+    """A type with a VARIANT anywhere inside is a VARIANT altogether."""
+    inner = [t.elementType] if isinstance(t, T.ArrayType) else [f.dataType for f in t.fields] if isinstance(t, T.StructType) else []
+    return T.VariantType() if any(isinstance(x, T.VariantType) for x in inner) else t
+
+
 def type_of(values: Iterable[object]) -> T.DataType:
     """The one Spark type that holds all values; ints widen to double, dicts become structs."""
     found: T.DataType = T.NullType()
@@ -50,9 +60,9 @@ def type_of(values: Iterable[object]) -> T.DataType:
         elif isinstance(v, str):
             t = T.StringType()
         elif isinstance(v, list):
-            t = T.ArrayType(type_of(v))
+            t = _whole(T.ArrayType(type_of(v)))
         else:
-            t = T.StructType([T.StructField(k, type_of([x])) for k, x in v.items()])
+            t = _whole(T.StructType([T.StructField(k, type_of([x])) for k, x in v.items()]))
         found = widen(found, t)
     return found
 
@@ -65,12 +75,12 @@ def widen(a: T.DataType, b: T.DataType) -> T.DataType:
     if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
         return T.DoubleType() if any(isinstance(x, T.FractionalType) for x in (a, b)) else T.LongType()
     if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
-        return T.ArrayType(widen(a.elementType, b.elementType))
+        return _whole(T.ArrayType(widen(a.elementType, b.elementType)))
     if isinstance(a, T.StructType) and isinstance(b, T.StructType):
         names = list(dict.fromkeys([*a.names, *b.names]))
         of = lambda s, n: s[n].dataType if n in s.names else T.NullType()
-        return T.StructType([T.StructField(n, widen(of(a, n), of(b, n))) for n in names])
-    raise InvalidDataType(f"one field can't hold {a.simpleString()} and {b.simpleString()}")
+        return _whole(T.StructType([T.StructField(n, widen(of(a, n), of(b, n))) for n in names]))
+    return T.VariantType()
 
 
 def solid(t: T.DataType) -> T.DataType:

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import errors
-from .functions import lookups
+from .functions import lookups, variant
 from .functions.validate import check_data, check_name, check_value, solid, type_of, widen
 from .operators.entity import Edge, Entity, Node
 from .operators.traversal import Traversal
+from .storage import numbered
 
 RESERVED = {"v": frozenset(("id",)), "e": frozenset(("id", "src", "dst"))}
 _NODES = T.StructType([T.StructField("id", T.LongType())])
@@ -163,16 +164,16 @@ class PropertyGraph:
         names = list(dict.fromkeys([*have.columns, *rows.columns]))
         of = lambda df, n: df.schema[n].dataType if n in df.columns else T.NullType()
         kinds = {n: solid(widen(of(have, n), of(rows, n))) for n in names}
-        both = [df.select(*((F.col(n) if n in df.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names)) for df in (have, rows)]
+        both = [df.select(*(variant.put(F.col(n) if n in df.columns else F.lit(None), of(df, n), kinds[n]).alias(n) for n in names)) for df in (have, rows)]
         return both[0].unionAll(both[1])
 
     def _rows(self, keys: list[dict], data: list[dict]) -> DataFrame:
         names = list(dict.fromkeys(k for d in data for k in d))
-        shape = [T.StructField(n, T.LongType()) for n in keys[0]] + [T.StructField(n, solid(type_of([d.get(n) for d in data]))) for n in names]
-        fit = lambda v, t: float(v) if isinstance(t, T.DoubleType) and v is not None else v
-        types = {f.name: f.dataType for f in shape}
+        types = {n: solid(type_of([d.get(n) for d in data])) for n in names}
+        mixed = [n for n in names if isinstance(types[n], T.VariantType)]
+        shape = [T.StructField(n, T.LongType()) for n in keys[0]] + [T.StructField(n, T.StringType() if n in mixed else types[n]) for n in names]
         rows = [tuple(k.values()) + tuple(fit(d.get(n), types[n]) for n in names) for k, d in zip(keys, data, strict=True)]
-        return self.spark.createDataFrame(rows, T.StructType(shape))
+        return self.spark.createDataFrame(rows, T.StructType(shape)).withColumns({n: F.parse_json(n) for n in mixed})
 
     def add_node(self, **data: object) -> Node:
         return self.bulk_add_node([data])[0]
@@ -226,9 +227,7 @@ class PropertyGraph:
         """Bulk load: ``rows`` has property columns only; ids follow the order of ``rows``."""
         for n in rows.columns:
             check_name(n)
-        first = self._fresh("v", 0)
-        numbered = rows.rdd.zipWithIndex().map(lambda p: (*p[0], first + p[1])).toDF(T.StructType([*rows.schema.fields, T.StructField("id", T.LongType())]))
-        self._set(nodes=self._appended("v", numbered))
+        self._set(nodes=self._appended("v", numbered(rows, "id", self._fresh("v", 0))))
         self._next["v"] = None
 
     def append_edges(self, rows: DataFrame) -> None:
@@ -239,9 +238,7 @@ class PropertyGraph:
         ends = rows.select("src").union(rows.select("dst")).withColumnRenamed("src", "id")
         if not ends.join(self.nodes.select("id"), "id", "left_anti").isEmpty():
             raise errors.DataError("an edge needs nodes that exist")
-        first = self._fresh("e", 0)
-        numbered = rows.rdd.zipWithIndex().map(lambda p: (*p[0], first + p[1])).toDF(T.StructType([*rows.schema.fields, T.StructField("id", T.LongType())]))
-        self._set(edges=self._appended("e", numbered))
+        self._set(edges=self._appended("e", numbered(rows, "id", self._fresh("e", 0))))
         self._next["e"] = None
 
     def _update(self, kind: str, ids: DataFrame, data: Mapping) -> None:
@@ -253,7 +250,8 @@ class PropertyGraph:
             old = F.col(n) if n in have.columns else F.lit(None)
             if n in data:
                 t = solid(widen(have.schema[n].dataType if n in have.columns else T.NullType(), type_of([data[n]])))
-                old = F.when(F.col("_k").isNotNull(), literal(data[n], t)).otherwise(old.cast(t))
+                was = have.schema[n].dataType if n in have.columns else T.NullType()
+                old = F.when(F.col("_k").isNotNull(), literal(data[n], t)).otherwise(variant.put(old, was, t))
             out.append(old.alias(n))
         new = marked.select(*out)
         self._set(**{"nodes" if kind == "v" else "edges": new})
@@ -359,8 +357,25 @@ def literal(v: object, t: T.DataType):
     """A Column of a checked value in the given type."""
     if v is None:
         return F.lit(None).cast(t)
+    if isinstance(t, T.VariantType):
+        return variant.constant(v)
     if isinstance(t, T.ArrayType):
         return F.array(*(literal(x, t.elementType) for x in v)).cast(t)
     if isinstance(t, T.StructType):
         return F.struct(*(literal(v.get(f.name), f.dataType).alias(f.name) for f in t.fields))
     return F.lit(v).cast(t)
+
+
+def fit(v: object, t: T.DataType) -> object:
+    """A checked value as ``createDataFrame`` takes it for the type."""
+    if v is None:
+        return None
+    if isinstance(t, T.VariantType):
+        return variant.text_of(v)
+    if isinstance(t, T.DoubleType):
+        return float(v)
+    if isinstance(t, T.LongType):
+        return int(v)
+    if isinstance(t, T.ArrayType):
+        return [fit(x, t.elementType) for x in v]
+    return {f.name: fit(v.get(f.name), f.dataType) for f in t.fields} if isinstance(t, T.StructType) else v

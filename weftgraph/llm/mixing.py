@@ -116,23 +116,24 @@ def route(capacity: Sequence[int], members: Sequence[Sequence[int]], quotas: Seq
             cap[a ^ 1] += push
 
 
-def mix(
-    docs: DataFrame, membership: Column | None = None, weights: Sequence[float] = WEIGHTS, factor: float = FACTOR,
-    max_epochs: int = MAX_EPOCHS, seed: int = SEED, bucket_rows: int = 20_000,
-) -> DataFrame:
-    """doc_id, size, pattern (sources), source_size and target (of the first source), taken, copies.
-
-    ``membership``: array of each document's sources; by default the one in ``source``.
-    ``taken``: words that the mix takes, repeats counted. ``copies``: the nearest number of whole copies.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    membership = F.array("source") if membership is None else F.array_sort(F.array_distinct(membership))
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))))
-    slim = docs.select("doc_id", membership.alias("members"), F.col("text").cast("string").alias("text"))
+def _sized(docs: DataFrame, membership: Column | None, seed: int) -> DataFrame:
+    """doc_id, members, size, pattern, key (of the seeded order) of each row, without its text."""
+    members = F.array("source") if membership is None else F.array_sort(F.array_distinct(membership))
+    slim = docs.select("doc_id", members.alias("members"), F.col("text").cast("string").alias("text"))
     sized = slim.mapInArrow(_sizes, f"doc_id {slim.schema[0].dataType.simpleString()}, members {slim.schema[1].dataType.simpleString()}, size long")
-    sized = materialize(sized.withColumn("pattern", F.to_json(F.struct("members"))).withColumn("key", key), "mix-sized")
+    return materialize(sized.withColumn("pattern", _pattern("members")).withColumn("key", _key(seed)), "mix-sized")
 
+
+def _pattern(members: str | Column) -> Column:
+    return F.to_json(F.struct(F.col(members).alias("members") if isinstance(members, str) else members.alias("members")))
+
+
+def _key(seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))))
+
+
+def _plan(sized: DataFrame, weights: Sequence[float], factor: float, max_epochs: int) -> tuple[DataFrame, int]:
+    """pattern, base (whole passes), extra (words of one more), source_size, target; and the rows of the largest pattern."""
     found = sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
     rows = found.limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
@@ -151,29 +152,69 @@ def mix(
     for r, own, f in zip(rows, members, flow, strict=True):
         base, extra = divmod(sum(f), r["words"]) if r["words"] else (0, 0)
         plan.append((r["pattern"], base, extra, sizes[own[0]] if own else 0, goal[own[0]] if own else 0.0))
-    plan_df = spark.createDataFrame(plan, "pattern string, base long, extra long, source_size long, target double")
+    made = sized.sparkSession.createDataFrame(plan, "pattern string, base long, extra long, source_size long, target double")
+    return made, max((r["docs"] for r in rows), default=0)
+
 
-    digits, most = 1, max((r["docs"] for r in rows), default=0)
+def _cut(sized: DataFrame, most: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``sized`` with the bucket of each row, and (pattern, bucket, before): the words of the buckets ahead."""
+    digits = 2
     while 16**digits * bucket_rows < most and digits < 8:
         digits += 1
-    digits = max(2, digits)
-    cut = sized.select("doc_id", "size", "pattern", "members", "key", F.substring("key", 1, digits).alias("bucket"))
+    cut = sized.withColumn("bucket", F.substring("key", 1, digits))
     ahead = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = cut.groupBy("pattern", "bucket").agg(F.sum("size").alias("words")).select("pattern", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before"))
+    buckets = cut.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
+    return cut, buckets.select("pattern", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before"))
+
+
+def mix(
+    docs: DataFrame, membership: Column | None = None, weights: Sequence[float] = WEIGHTS, factor: float = FACTOR,
+    max_epochs: int = MAX_EPOCHS, seed: int = SEED, bucket_rows: int = 20_000,
+) -> DataFrame:
+    """doc_id, size, sources, source_size and target (of the first source), taken, copies.
+
+    ``membership``: array of each document's sources; by default the one in ``source``.
+    ``taken``: words that the mix takes, repeats counted. ``copies``: the nearest number of whole copies.
+    """
+    ship(docs.sparkSession)
+    sized = _sized(docs, membership, seed)
+    plan, most = _plan(sized, weights, factor, max_epochs)
+    cut, buckets = _cut(sized, most, bucket_rows)
     inside = Window.partitionBy("pattern", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = cut.withColumn("upto", F.sum("size").over(inside)).join(buckets, ["pattern", "bucket"]).join(F.broadcast(plan_df), "pattern")
+    placed = cut.withColumn("upto", F.sum("size").over(inside)).join(buckets, ["pattern", "bucket"]).join(F.broadcast(plan), "pattern")  # MAX_PATTERNS rows at most
     part = F.greatest(F.lit(0), F.least("size", F.expr("extra - (before + upto - size)")))
     taken = F.col("base") * F.col("size") + part
     copies = F.when(F.col("size") > 0, F.col("base") + (2 * part >= F.col("size")).cast("long")).otherwise(0)
     return placed.select("doc_id", "size", F.col("members").alias("sources"), "source_size", "target", taken.cast("long").alias("taken"), copies.cast("long").alias("copies"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it whole; columns unchanged, texts whole."""
-    chosen = mix(docs, **options).select("doc_id", "copies")
-    many = materialize(chosen.groupBy("doc_id").agg((F.sum("copies") / F.count(F.lit(1))).cast("long").alias("copies")).filter("copies > 0"), "mix-copies")
-    many = many.select(F.col("doc_id").alias("__mix_id"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__mix_no")).select("__mix_id")
-    return docs.join(many, docs["doc_id"].eqNullSafe(many["__mix_id"])).select(docs["*"])
+def apply_mix(
+    docs: DataFrame, membership: Column | None = None, weights: Sequence[float] = WEIGHTS, factor: float = FACTOR,
+    max_epochs: int = MAX_EPOCHS, seed: int = SEED, bucket_rows: int = 20_000,
+) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it whole; columns unchanged, texts whole.
+
+    Texts aren't shuffled: in a pattern's seeded order, rows up to one cut are taken once more than the others, so
+    each row tells its copies from the cut of its pattern. Rows of one id are one document here.
+    """
+    ship(docs.sparkSession)
+    sized = _sized(docs, membership, seed)
+    plan, most = _plan(sized, weights, factor, max_epochs)
+    cut, buckets = _cut(sized, most, bucket_rows)
+    units = cut.repartition("pattern", "bucket").groupBy("pattern", "bucket", "key").agg(F.sum("size").alias("size"))
+    inside = Window.partitionBy("pattern", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = units.withColumn("upto", F.sum("size").over(inside)).join(buckets, ["pattern", "bucket"]).join(F.broadcast(plan), "pattern")
+    start = F.expr("before + upto - size")
+    edge = placed.filter((start <= F.col("extra")) & (F.col("extra") < start + F.col("size")))  # one unit of each pattern
+    edge = materialize(edge.select("pattern", "base", F.col("key").alias("last"), (2 * (F.col("extra") - start) >= F.col("size")).alias("within")), "mix-cuts")
+    cuts = edge.select(F.col("pattern").alias("__mix_pattern"), F.struct("base", "last", "within").alias("__mix_cut"))
+    members = F.array("source") if membership is None else F.array_sort(F.array_distinct(membership))
+    more = (_key(seed) < F.col("__mix_cut.last")) | ((_key(seed) == F.col("__mix_cut.last")) & F.col("__mix_cut.within"))
+    held = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    copies = F.when(held, F.col("__mix_cut.base") + more.cast("long")).otherwise(0).cast("int")
+    joined = docs.withColumn("__mix_pattern", _pattern(members)).join(F.broadcast(cuts), "__mix_pattern")  # MAX_PATTERNS rows at most
+    many = joined.withColumn("__mix_copies", copies).filter("__mix_copies > 0")
+    return many.withColumn("__mix_no", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = r"""

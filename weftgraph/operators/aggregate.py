@@ -52,8 +52,8 @@ class EntityAggregate:
             value = value if by_rows else value * F.col("_m")
             df = df.groupBy("_id").agg(F.min("_ord").alias("_ord"), F.sum(value).cast("long" if number == "int" else "double").alias("_v"))
         if percent:
-            total = df.agg(F.sum("_v").cast("double").alias("_total"))  # one row
-            df = df.crossJoin(F.broadcast(total)).select("_id", "_ord", F.when(F.col("_total") == 0, F.col("_v").cast("double")).otherwise(F.expr("try_divide(cast(_v AS double), _total)")).alias("_v"))
+            total = df.agg(F.sum("_v").cast("double")).scalar()
+            df = df.withColumn("_total", total).select("_id", "_ord", F.when(F.col("_total") == 0, F.col("_v").cast("double")).otherwise(F.expr("try_divide(cast(_v AS double), _total)")).alias("_v"))
         return cls(s, kind, df, asc)
 
     def _sorted(self) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import variant
 from .traversal import Traversal
 
 _PLAIN = frozenset(("_s", "_i"))
@@ -32,8 +33,7 @@ class Entity:
 
     def data(self) -> dict:
         row = self._row()
-        hidden = self._s.reserved(self.kind)
-        return {} if row is None else {k: v for k, v in row.asDict(True).items() if v is not None and k not in hidden}
+        return {} if row is None else variant.data_of(row, self._s.reserved(self.kind))
 
     def get(self, field: str, default: object = None) -> object:
         return self.data().get(field, default)

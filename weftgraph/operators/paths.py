@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnreachableNode
+from ..functions.variant import data_of
 from ..graph import PropertyGraph
 from ..storage import durable
 from .entity import Node
@@ -52,12 +53,12 @@ def distances(g: PropertyGraph, source: int, target: int | None = None, cutoff:
         if cutoff is not None:
             step = step.filter(F.col("dist") <= cutoff)
         if target is not None:
-            goal = best.filter(F.col("id") == target).agg(F.min("dist").alias("goal"))  # one row
+            goal = best.filter(F.col("id") == target).agg(F.min("dist")).scalar()
             ahead = F.col("dist")
             if estimates is not None:
                 step = step.join(estimates, step["id"] == estimates["_n"], "left")
                 ahead = ahead + F.coalesce("_h", F.lit(0.0))
-            step = step.crossJoin(F.broadcast(goal)).filter(F.col("goal").isNull() | (ahead <= F.col("goal"))).drop("goal")
+            step = step.withColumn("ahead", ahead).withColumn("goal", goal).filter("goal IS NULL OR ahead <= goal")
         step = step.groupBy("id").agg(F.min(F.struct("dist", "hops")).alias("n"))
         old = best.select("id", F.struct("dist", "hops").alias("o"))
         merged = old.join(step, "id", "full").withColumn("fresh", F.col("n").isNotNull() & (F.col("o").isNull() | (F.col("n") < F.col("o"))))
@@ -123,7 +124,7 @@ def _estimates(g: PropertyGraph, target: int, h: Callable[[dict, dict], float])
     """(_n, _h): the estimate from each node's data to the target's."""
     goal = g.v(target).data()
     own = [c for c in g.nodes.columns if c != "id"]
-    estimate = F.udf(lambda row: float(h({k: v for k, v in row.asDict(True).items() if v is not None}, goal)), "double")
+    estimate = F.udf(lambda row: float(h(data_of(row), goal)), "double")
     data = F.struct(*own) if own else F.struct(F.lit(None).cast("int").alias("none"))
     return durable(g.nodes.select(F.col("id").alias("_n"), estimate(data).alias("_h")))
 

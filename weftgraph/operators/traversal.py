@@ -15,9 +15,10 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import errors
-from ..functions import ordering
+from ..functions import ordering, variant
 
 if TYPE_CHECKING:
     from ..graph import Snapshot
@@ -201,7 +202,8 @@ class Traversal:
         self._s.check(kind, filters)
 
         def pick(f: Frame) -> Frame:
-            drawn = F.md5(F.concat_ws(":", F.element_at("_ord", -1 if not method.startswith("both") or self.kind == "e" else -2).cast("string"), F.lit(str(seed))))
+            last = [F.element_at("_ord", i).cast("string") for i in ((-1,) if not method.startswith("both") else (-2, -1) if self.kind == "e" else (-2,))]
+            drawn = F.md5(F.concat_ws(":", *last, F.lit(str(seed))))
             rest = F.struct("_id", "_ord", *(c for c in f.carried() if c != "_row"))
             df = f.df.groupBy("_row").agg(F.min_by(rest, F.struct(drawn, "_ord")).alias("r")).select("r.*")
             return Frame(_only(df, self._s, kind, filters), kind, f.bag)
@@ -252,7 +254,11 @@ class Traversal:
             have = self._s.of(kind)
             used = [n for n, _ in parsed if n in have.columns and n not in self._s.reserved(kind)]
             props = have.select(F.col("id").alias("_k"), *(F.col(n).alias(f"_p_{n}") for n in used))
-            keys = [F.col(f"_p_{n}").asc_nulls_first() if up else F.col(f"_p_{n}").desc_nulls_last() for n, up in parsed if n in used]
+            keys = []
+            for n, up in parsed:
+                if n in used:
+                    own = variant.sort_keys(F.col(f"_p_{n}")) if isinstance(have.schema[n].dataType, T.VariantType) else [F.col(f"_p_{n}")]
+                    keys += [c.asc_nulls_first() if up else c.desc_nulls_last() for c in own]
             df = f.df.join(props, f.df["_id"] == props["_k"]).orderBy(*keys, "_ord").select("_id", F.array(F.monotonically_increasing_id()).alias("_ord"), *f.carried())
             return Frame(df, kind, f.bag)
 
@@ -299,7 +305,7 @@ class Traversal:
 
     def idata(self, *fields: str, flat: bool = False) -> Iterator:
         for r in self.data_frame(*fields).orderBy("_ord").toLocalIterator():
-            d = {k: v.asDict(True) if hasattr(v, "asDict") else v for k, v in r.asDict().items() if k not in ROW and v is not None}
+            d = variant.data_of(r, ROW)
             if flat and fields:
                 yield [d[f] for f in fields]
             else:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +13,7 @@ from ..operators.traversal import Traversal
 from ..sources.export import simple_edges
 from ..sources.files import edge_list
 from ..sources.star import STEP, Star
+from ..storage import fresh_path
 from .commands import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,7 +268,7 @@ def script_add_edge(g):
 @query("SELECT id FROM prt WHERE brand = 'Brand#11' AND size > 5", "part")
 def index_transparency(g):
     g.add_node_index("brand", "size")
-    path = os.path.join(tempfile.mkdtemp(), "store") if not g.spark.conf.get("spark.checkpoint.dir", None) else f"{g.spark.conf.get('spark.checkpoint.dir')}/weftgraph-store-{os.urandom(6).hex()}"
+    path = fresh_path(g.spark, "store")
     g.save(path)
     return ids(PropertyGraph.load(g.spark, path).V(brand="Brand#11", size__gt=5))
 
@@ -277,7 +276,7 @@ def index_transparency(g):
 # files
 @query("SELECT name, kind, outgoing FROM (SELECT nation_n.name, 'nation' AS kind, count(*) AS outgoing FROM nation_n JOIN ring ON ring.src = nation_n.id GROUP BY nation_n.name)")
 def json_roundtrip(g):
-    path = os.path.join(tempfile.mkdtemp(), "dump.json")
+    path = fresh_path(g.spark, "dump")
     g.write(path)
     copy = PropertyGraph.empty(g.spark)
     copy.read(path)
@@ -296,10 +295,10 @@ query("SELECT src, dst, max(id) AS id FROM contains GROUP BY src, dst", "order",
 
 @query("SELECT CAST(src AS VARCHAR) AS source, CAST(dst AS VARCHAR) AS target FROM ring")
 def edge_list_load(g):
-    path = os.path.join(tempfile.mkdtemp(), "edges.tsv")
-    with open(path, "w") as f:
-        f.write("# source target\n" + "".join(f"{r[0]}\t{r[1]}\n" for r in g.edges.select("src", "dst").collect()))
-    loaded = edge_list(g.spark, f"file://{path}")
+    path = fresh_path(g.spark, "edges")
+    lines = g.edges.select(F.concat_ws("\t", "src", "dst").alias("value"))
+    lines.union(g.spark.createDataFrame([("# source target",)], "value string")).write.text(path)
+    loaded = edge_list(g.spark, path)
     name = lambda c: loaded.nodes.select(F.col("id").alias(c), F.col("gid"))
     return loaded.edges.join(name("src"), "src").withColumnRenamed("gid", "source").join(name("dst"), "dst").select("source", F.col("gid").alias("target"))
 
@@ -339,8 +338,8 @@ _REC = "WITH s AS (SELECT c.dst AS id, CAST(count(*) AS BIGINT) AS value FROM cu
 def recommend_parts(g):
     """The parts that customers of a segment order most, ties with the tenth included."""
     agg = g.V(kind="customer", mktsegment="BUILDING").out_(2).sum()
-    least = agg.limit(10).frame().agg(F.min("value").alias("least"))  # one row
-    return agg.frame().crossJoin(F.broadcast(least)).filter("value >= least").select("id", F.col("value").cast("long").alias("value"))
+    least = agg.limit(10).frame().agg(F.min("value")).scalar()
+    return agg.frame().withColumn("least", least).filter("value >= least").select("id", F.col("value").cast("long").alias("value"))
 
 
 query("SELECT p.src AS id, r.dst AS grandparent FROM cust_nation p JOIN in_region r ON r.src = p.dst", "customer nation region", "cust_nation in_region", name="grandparent")(lambda g: g.V(kind="customer").aka("c").outV(2).frame().select(F.col("_a_c").alias("id"), F.col("_id").alias("grandparent")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.variant import data_of
+
 if TYPE_CHECKING:
     from ..graph import PropertyGraph
     from ..operators.traversal import Traversal
@@ -64,9 +65,8 @@ def to_networkx(g: PropertyGraph):
     except ImportError as e:
         raise RuntimeError("networkx isn't installed") from e
     out = networkx.DiGraph()
-    clean = lambda r, drop: {k: v for k, v in r.asDict(True).items() if v is not None and k not in drop}
-    out.add_nodes_from((r["id"], clean(r, {"id"})) for r in g.nodes.toLocalIterator())
-    out.add_edges_from((r["src"], r["dst"], clean(r, {"id", "src", "dst"})) for r in simple_edges(g).toLocalIterator())
+    out.add_nodes_from((r["id"], data_of(r, {"id"})) for r in g.nodes.toLocalIterator())
+    out.add_edges_from((r["src"], r["dst"], data_of(r, {"id", "src", "dst"})) for r in simple_edges(g).toLocalIterator())
     return out
 
 

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import DataPreparationFailed
 from ..graph import PropertyGraph
+from ..storage import numbered, read_text, write_text
 
 
 class GraphStore(Protocol):
@@ -68,22 +69,27 @@ def dump_frame(graph: PropertyGraph) -> DataFrame:
 
 
 def dump_json(graph: PropertyGraph, path: str) -> None:
-    """One JSON object in one local file; entities stream through the driver in id order."""
+    """One JSON object in one file of any store; entities stream through the driver in id order.
+
+    The format is one object for the whole graph, so it is meant for graphs that one machine writes; ``save`` is parallel.
+    """
     lines = dump_frame(graph)
-    with open(path, "w", encoding="utf-8") as out:
+
+    def pieces() -> Iterator[str]:
         for part, head in (("nodes", '{"nodes": ['), ("edges", '], "edges": [')):
-            out.write(head)
+            yield head
             for i, r in enumerate(lines.filter(F.col("part") == part).orderBy("id").select("line").toLocalIterator()):
-                out.write((", " if i else "") + r[0])
-        out.write(f'], "node_indexes": {json.dumps(graph.get_node_indexes())}, "edge_indexes": {json.dumps(graph.get_edge_indexes())}}}')
+                yield (", " if i else "") + r[0]
+        yield f'], "node_indexes": {json.dumps(graph.get_node_indexes())}, "edge_indexes": {json.dumps(graph.get_edge_indexes())}}}'
+
+    write_text(graph.spark, path, pieces())
 
 
 def load_json(graph: PropertyGraph, path: str, id_map: dict | None = None) -> dict:
     """Append a dump under new ids; the map from old to new node ids comes back. Indexes keep their filters."""
     from ..errors import IndexAlreadyExists
 
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f)
+    found = json.loads(read_text(graph.spark, path))
     id_map = {} if id_map is None else id_map
     made = graph.bulk_add_node([{k: v for k, v in n.items() if k != "_id"} for n in found["nodes"]])
     id_map.update({n["_id"]: m.get_id() for n, m in zip(found["nodes"], made, strict=True)})
@@ -102,8 +108,7 @@ def edge_list(spark: SparkSession, path: str, field: str = "gid") -> PropertyGra
     lines = spark.read.text(path).filter(~F.trim("value").startswith("#") & (F.trim("value") != ""))
     pairs = lines.select(F.split(F.trim("value"), r"\s+").alias("p")).select(F.col("p")[0].alias("s"), F.col("p")[1].alias("t"))
     names = pairs.select("s").union(pairs.select("t")).distinct().withColumnRenamed("s", field)
-    ordered = names.orderBy(field).rdd.zipWithIndex().map(lambda p: (p[1], p[0][0])).toDF(T.StructType([T.StructField("id", T.LongType()), T.StructField(field, T.StringType())]))
+    ordered = numbered(names.orderBy(field), "id").select("id", field)
     at = lambda n, c: ordered.select(F.col(field).alias(n), F.col("id").alias(c))
     edges = pairs.join(at("s", "src"), "s").join(at("t", "dst"), "t").select("src", "dst")
-    numbered = edges.orderBy("src", "dst").rdd.zipWithIndex().map(lambda p: (p[1], *p[0])).toDF("id long, src long, dst long")
-    return PropertyGraph(ordered, numbered, [((field,), {})])
+    return PropertyGraph(ordered, numbered(edges.orderBy("src", "dst"), "id").select("id", "src", "dst"), [((field,), {})])
