@@ -180,6 +180,12 @@ query("SELECT DISTINCT dst AS id FROM contains", "order part", "contains", name=
 query(f"SELECT DISTINCT p.src AS c, x.dst AS id FROM placed p JOIN contains x ON x.src = p.dst WHERE {_FEW}", "customer order part", PC, name="dedup_alias")(lambda g: g.V(kind="customer", **_few).aka("c").outV(2).dedup("c").frame().select(F.col("_a_c").alias("c"), F.col("_id").alias("id")))
 query(f"SELECT z.dst AS id, count(*) AS paths FROM placed p JOIN contains x ON x.src = p.dst JOIN contains y ON y.dst = x.dst JOIN contains z ON z.src = y.src WHERE {_FEW} AND z.dst <> x.dst GROUP BY z.dst", "customer order part", PC, name="without")(lambda g: counted(_pairs(g).without("a")))
 
+# the same over all customers; their names end in _all
+query("SELECT p.dst AS o, x.dst AS a FROM placed p JOIN contains x ON x.src = p.dst", "customer order part", PC, name="aka_collect2_all")(lambda g: g.V(kind="customer").outV().aka("o").outV().aka("a").collect_frame("o", "a").drop("_ord"))
+query("SELECT p.src AS c, p.dst AS o, x.dst AS a FROM placed p JOIN contains x ON x.src = p.dst", "customer order part", PC, name="aka_collect3_all")(lambda g: g.V(kind="customer").aka("c").outV().aka("o").outV().aka("a").collect_frame("c", "o", "a").drop("_ord"))
+query("SELECT DISTINCT p.src AS c, x.dst AS id FROM placed p JOIN contains x ON x.src = p.dst", "customer order part", PC, name="dedup_alias_all")(lambda g: g.V(kind="customer").aka("c").outV(2).dedup("c").frame().select(F.col("_a_c").alias("c"), F.col("_id").alias("id")))
+query("SELECT z.dst AS id, count(*) AS paths FROM placed p JOIN contains x ON x.src = p.dst JOIN contains y ON y.dst = x.dst JOIN contains z ON z.src = y.src WHERE z.dst <> x.dst GROUP BY z.dst", "customer order part", PC, name="without_all")(lambda g: counted(g.V(kind="customer").outV().outV().aka("a").inV().outV().without("a")))
+
 # aggregates and the expression language
 query("SELECT count(*) AS n FROM placed p JOIN contains c ON c.src = p.dst", "customer order part", PC, name="count_paths")(lambda g: one(g, n=g.V(kind="customer").outV(2).count()))
 
@@ -346,6 +352,15 @@ query("SELECT p.src AS id, r.dst AS grandparent FROM cust_nation p JOIN in_regio
 query("SELECT a.src AS id, b.src AS sibling FROM in_region a JOIN in_region b ON a.dst = b.dst WHERE a.src <> b.src", "nation region", "in_region", name="siblings")(lambda g: g.V(kind="nation").aka("n").outV().inV().without("n").frame().select(F.col("_a_n").alias("id"), F.col("_id").alias("sibling")))
 query(f"SELECT a.src AS id, d.src AS cousin FROM cust_nation a JOIN in_region b ON b.src = a.dst JOIN in_region c ON c.dst = b.dst JOIN cust_nation d ON d.dst = c.src WHERE a.src < {3 * STEP + 5} AND c.src <> a.dst", "customer nation region", "cust_nation in_region", name="cousins")(lambda g: g.V(kind="customer", _id__lt=3 * STEP + 5).aka("c").outV().aka("n").outV().inV().without("n").inV().frame().select(F.col("_a_c").alias("id"), F.col("_id").alias("cousin")))
 
+
+@query("SELECT a.src AS id, c.src AS nation, d.cousins FROM cust_nation a JOIN in_region b ON b.src = a.dst JOIN in_region c ON c.dst = b.dst JOIN (SELECT dst, count(*) AS cousins FROM cust_nation GROUP BY dst) d ON d.dst = c.src WHERE c.src <> a.dst", "customer nation region", "cust_nation in_region")
+def cousins_all(g):
+    """All customers with the number of their cousins in each nation; the pairs themselves grow with the square of the table."""
+    near = g.V(kind="customer").aka("c").outV().aka("n").outV().inV().without("n").frame().select(F.col("_a_c").alias("id"), F.col("_id").alias("nation"))
+    living = counted(g.V(kind="customer").outV()).select(F.col("id").alias("nation"), F.col("paths").alias("cousins"))
+    return near.join(living, "nation").select("id", "nation", "cousins")
+
+
 # command lists and scripts
 query("SELECT c.dst AS id, count(*) AS paths FROM placed p JOIN cust ON p.src = cust.id JOIN contains c ON c.src = p.dst WHERE mktsegment = 'BUILDING' AND c.quantity > 45 GROUP BY c.dst", "customer order part", PC, name="commands_replay")(lambda g: counted(replay(g, [["V", [], {"mktsegment": "BUILDING"}], ["outV", [], {}], ["out_", [], {"quantity__gt": 45}]])))
 query("SELECT 'x' AS arg, 1::BIGINT AS k FROM ring a JOIN ring b ON a.dst = b.src", name="requests_echo")(lambda g: g.spark.createDataFrame([(r["args"][0], r["kwargs"]["k"]) for r in g.V().aka("x").outV(2).request("echo", "x", k=1)], "arg string, k long"))
