@@ -16,3 +16,10 @@ def test_all_customers(name, spark, sf_dir):
     keys = {r[0] for r in (customers.select("c_custkey") if name == "cousins_all" else orders.select("o_custkey")).distinct().collect()}
     assert max(keys) >= 20
     assert column(spark, sf_dir, name, "id" if name == "cousins_all" else "c") == {3 * STEP + k for k in keys}
+
+
+def test_all_parts_and_nations(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert catalog.QUERIES["inv_all"](spark, sf_dir).count() == lines.count()
+    assert catalog.QUERIES["ine_all"](spark, sf_dir).count() == lines.filter("l_returnflag = 'A'").count()
+    assert column(spark, sf_dir, "script_add_edge_all", "src") == {2 * STEP + k for k in range(25)}

@@ -142,6 +142,8 @@ query(f"SELECT src AS id FROM contains WHERE dst < {A + 50}", "part order", "con
 query("SELECT dst AS id FROM nation_n JOIN ring ON src = nation_n.id UNION ALL SELECT src FROM nation_n JOIN ring ON dst = nation_n.id", name="bothv")(lambda g: ids(g.V().bothV()))
 query("SELECT placed.id FROM placed JOIN cust ON src = cust.id WHERE mktsegment = 'MACHINERY' AND totalprice > 1000", "customer order", "placed", name="oute")(lambda g: ids(g.V(mktsegment="MACHINERY").outE(totalprice__gt=1000)))
 query(f"SELECT id FROM contains WHERE dst < {A + 30} AND returnflag = 'A'", "part", "contains", name="ine")(lambda g: ids(g.V(_id__lt=A + 30).inE(returnflag="A")))
+query("SELECT src AS id FROM contains", "part order", "contains", name="inv_all")(lambda g: ids(g.V(kind="part").inV()))
+query("SELECT id FROM contains WHERE returnflag = 'A'", "part", "contains", name="ine_all")(lambda g: ids(g.V(kind="part").inE(returnflag="A")))
 query("SELECT r.id FROM ring r UNION ALL SELECT r.id FROM ring r", name="bothe")(lambda g: ids(g.V().bothE()))
 query("SELECT src AS id FROM placed WHERE totalprice > 300000", "customer order", "placed", name="edge_inv")(lambda g: ids(g.E(totalprice__gt=300000).inV()))
 query("SELECT dst AS id FROM placed WHERE totalprice > 300000", "customer order", "placed", name="edge_outv")(lambda g: ids(g.E(totalprice__gt=300000).outV()))
@@ -271,6 +273,12 @@ def script_add_edge(g):
     return g.E(made=1)._s.matching("e", {"made": 1}).select("src", "dst")
 
 
+@query("SELECT a.src, b.dst FROM ring a JOIN ring b ON a.dst = b.src")
+def script_add_edge_all(g):
+    g.V(kind="nation").aka("x").outV(2).aka("y").call("add_edge", "x", "y", made=1)
+    return g.E(made=1)._s.matching("e", {"made": 1}).select("src", "dst")
+
+
 @query("SELECT id FROM prt WHERE brand = 'Brand#11' AND size > 5", "part")
 def index_transparency(g):
     g.add_node_index("brand", "size")
