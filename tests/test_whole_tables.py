@@ -23,3 +23,11 @@ def test_all_parts_and_nations(spark, sf_dir):
     assert catalog.QUERIES["inv_all"](spark, sf_dir).count() == lines.count()
     assert catalog.QUERIES["ine_all"](spark, sf_dir).count() == lines.filter("l_returnflag = 'A'").count()
     assert column(spark, sf_dir, "script_add_edge_all", "src") == {2 * STEP + k for k in range(25)}
+
+
+@pytest.mark.parametrize("name", ["order_asc_all", "order_desc_all", "order_mix_all", "sum_asc_all"])
+def test_all_ranks(name, spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/{'lineitem' if name == 'sum_asc_all' else 'part'}.parquet")
+    n = parts.select("l_partkey" if name == "sum_asc_all" else "p_partkey").distinct().count()
+    assert n > 50
+    assert column(spark, sf_dir, name, "rank") == set(range(1, n + 1))

@@ -13,7 +13,7 @@ from ..operators.traversal import Traversal
 from ..sources.export import simple_edges
 from ..sources.files import edge_list
 from ..sources.star import STEP, Star
-from ..storage import fresh_path
+from ..storage import fresh_path, numbered
 from .commands import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,11 @@ def top(agg, k: int) -> DataFrame:
     return first.select(F.col("_id").alias("id"), F.col("_v").alias("value"), F.row_number().over(Window.orderBy(order, "_ord")).cast("long").alias("rank"))
 
 
+def ranked_all(df: DataFrame) -> DataFrame:
+    """A sorted frame with the rank of each row; no task sees all rows."""
+    return numbered(df, "rank", 1)
+
+
 def one(g: PropertyGraph, **values: object) -> DataFrame:
     kind = {bool: "boolean", int: "long", float: "double", str: "string"}
     return g.spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {kind[type(v)]}" for k, v in values.items()))
@@ -211,11 +216,14 @@ query("WITH s AS (SELECT dst AS id, sum(size) AS n FROM contains JOIN prt ON prt
 _TOP = "WITH s AS (SELECT o.dst AS id, CAST(count(*) AS BIGINT) AS value, min(cast(o.src AS HUGEINT) * 1000000000000 + o.id) AS first FROM contains o GROUP BY o.dst) SELECT id, value, row_number() OVER (ORDER BY value {}, first) AS rank FROM s ORDER BY rank LIMIT 15"
 query(_TOP.format("DESC"), "order part", "contains", name="sum_limit")(lambda g: top(g.V(kind="order").outV().sum(), 15))
 query(_TOP.format("ASC"), "order part", "contains", name="sum_asc")(lambda g: top(g.V(kind="order").outV().sum(asc=True), 15))
+query(_TOP.removesuffix(" ORDER BY rank LIMIT 15").format("ASC"), "order part", "contains", name="sum_asc_all")(lambda g: ranked_all(g.V(kind="order").outV().sum(asc=True)._sorted().select(F.col("_id").alias("id"), F.col("_v").alias("value"))))
 query(f"WITH s AS (SELECT o.dst AS id, count(*) AS value, min(cast(o.src AS HUGEINT) * 1000000000000 + o.id) AS first FROM contains o GROUP BY o.dst), t AS (SELECT id FROM s ORDER BY value DESC, first LIMIT 5) SELECT src AS id, count(*) AS paths FROM contains WHERE dst IN (SELECT id FROM t) GROUP BY src", "order part", "contains", name="sum_entities_next")(lambda g: counted(g.V(kind="order").outV().sum().limit(5).entities().inV()))
 
 # order and limits
 for _name, _clauses, _order in (("order_asc", ("name",), "name, id"), ("order_desc", ("-retailprice",), "retailprice DESC, id"), ("order_mix", ("brand", "-size"), "brand, size DESC, id"), ("order_limit", ("-size", "+name"), "size DESC, name, id")):
     query(f"SELECT id, row_number() OVER (ORDER BY {_order}) AS rank FROM prt ORDER BY rank LIMIT 50", P, name=_name)(lambda g, c=_clauses: ranked(g.V().order_by(*c), 50))
+    if _name != "order_limit":
+        query(f"SELECT id, row_number() OVER (ORDER BY {_order}) AS rank FROM prt", P, name=f"{_name}_all")(lambda g, c=_clauses: ranked_all(g.V().order_by(*c).frame().select(F.col("_id").alias("id"))))
 query("SELECT dst AS id, row_number() OVER (ORDER BY src, id) AS rank FROM contains ORDER BY rank LIMIT 40", "order part", "contains", name="limit_ordered")(lambda g: ranked(g.V(kind="order").outV().limit(40), 40))
 
 # set algebra
