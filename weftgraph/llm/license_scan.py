@@ -6,16 +6,23 @@ Dice coefficient of their sets of word bigrams. As ``2 |A & B| <= 2 min(|A|, |B|
 reach the threshold t only with segments of ``n t / (2 - t)`` to ``n (2 - t) / t`` bigrams; templates are
 sorted by size and only those within the bounds are compared.
 
+A licence inside longer text, over several paragraphs or after another sentence of its line, is found by windows
+over the text's bigrams that begin and end with one of the template's and reach the threshold; the same bounds
+apply. Templates of which the text lacks too many bigrams are left out first. The best windows of a template that
+don't overlap are taken, of overlapping ones of several templates that with the most bigrams in common. Windows
+inside a segment that matches aren't compared again, so they only add what the segments miss.
+
 Defined cases: null and empty texts and segments of fewer than two words match nothing; equal coefficients go
-to the template that is first by name, then to the earlier segment; a segment that matches counts once; long
-texts are scanned whole; rows that repeat are scanned alike; extra columns are ignored.
+to the template that is first by name, then to the earlier segment; a segment that matches counts once, and so
+does each window beside such segments; long texts are scanned whole; rows that repeat are scanned alike; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Mapping
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,16 +50,47 @@ TEMPLATES: Mapping[str, str] = {
 }
 
 
+def words_of(text: str) -> list[str]:
+    return [w for x in _WORD.findall(text.translate(_LOWER)) if (w := x.strip("."))]
+
+
 def bigrams(text: str) -> set[tuple[str, str]]:
-    words = [w for x in _WORD.findall(text.translate(_LOWER)) if (w := x.strip("."))]
+    words = words_of(text)
     return set(zip(words, words[1:]))  # noqa: B905
 
 
+def _paragraphs(text: str) -> list[str]:
+    return re.split(r"\n[ \t\r]*\n", text)
+
+
 def segments(text: str) -> list[str]:
     """Lines, paragraphs of several lines, and the whole text; equal ones once, in that order."""
-    lines = text.split("\n")
-    paragraphs = [p for p in re.split(r"\n[ \t\r]*\n", text) if "\n" in p]
-    return list(dict.fromkeys([*lines, *paragraphs, text]))
+    return list(dict.fromkeys([*text.split("\n"), *(p for p in _paragraphs(text) if "\n" in p), text]))
+
+
+def _spans(text: str, matched: set[str]) -> list[tuple[int, int]]:
+    """First word and the word after the last of each place of the segments ``matched``."""
+    found = []
+    for parts in (text.split("\n"), _paragraphs(text), [text]):
+        at = 0
+        for p in parts:
+            n = len(words_of(p))
+            if p in matched:
+                found.append((at, at + n))
+            at += n
+    return found
+
+
+def _apart(ordered: Iterable[tuple]) -> list[tuple]:
+    """Of windows (..., first, last) the earlier ones that overlap none taken before."""
+    taken: list[tuple] = []
+    starts: list[int] = []
+    for w in ordered:
+        i = bisect_left(starts, w[-2])
+        if (i == 0 or taken[i - 1][-1] < w[-2]) and (i == len(taken) or w[-1] < starts[i]):
+            taken.insert(i, w)
+            starts.insert(i, w[-2])
+    return taken
 
 
 class Templates:
@@ -61,11 +99,50 @@ class Templates:
         self.sizes, self.rows, self.t = [r[0] for r in rows], rows, threshold
         self.low, self.high = self.sizes[0] * threshold / (2 - threshold), self.sizes[-1] * (2 - threshold) / threshold
 
-    def best(self, segment: str) -> tuple[float, str] | None:
+        self.any = set().union(*(r[2] for r in rows))
+
+    def _ends(self, pairs: list[tuple[str, str]], size: int, other: set) -> list[tuple]:
+        """(-dice, length, -common, first, last) of the best window before each bigram of a template."""
+        need, high = size * self.t / (2 - self.t) - 1e-9, int(size * (2 - self.t) / self.t + 1e-9)
+        # the latest place of each of the last ``high`` distinct bigrams: a window's set is an end piece of it
+        recent: OrderedDict[tuple[str, str], int] = OrderedDict()
+        shared, found = 0, []
+        for e, p in enumerate(pairs):
+            if p in recent:
+                recent.move_to_end(p)
+            else:
+                shared += p in other
+                if len(recent) == high:
+                    shared -= recent.popitem(last=False)[0] in other
+            recent[p] = e
+            if shared < need or p not in other:
+                continue
+            top, common = None, 0
+            for n, q in enumerate(reversed(recent), 1):
+                if q in other:
+                    common += 1
+                    dice = 2 * common / (n + size)
+                    if dice >= self.t and (top is None or dice > -top[0]):
+                        top = (-dice, e - recent[q], -common, recent[q], e)
+            if top:
+                found.append(top)
+        return found
+
+    def windows(self, words: list[str], own: set[tuple[str, str]]) -> list[tuple[float, str, int, int]]:
+        """(dice, template, first word, word after the last) of the windows that match, none over another."""
+        have = own & self.any
+        likely = [r for r in self.rows if len(have & r[2]) >= r[0] * self.t / (2 - self.t) - 1e-9]
+        if not likely:
+            return []
+        pairs = list(zip(words, words[1:]))  # noqa: B905
+        found = [(common, dice, name, first, last) for size, name, other in likely for dice, _, common, first, last in _apart(sorted(self._ends(pairs, size, other)))]
+        return [(-dice, name, first, last + 2) for _, dice, name, first, last in _apart(sorted(found))]
+
+    def best(self, segment: str, own: set[tuple[str, str]] | None = None) -> tuple[float, str] | None:
         # a segment of n bigrams has at least 2 n + 1 characters, and at most one bigram for each two characters
         if len(segment) < 2 * self.low:
             return None
-        own = bigrams(segment)
+        own = bigrams(segment) if own is None else own
         n = len(own)
         if not self.low - 1e-9 <= n <= self.high + 1e-9:
             return None
@@ -79,8 +156,15 @@ class Templates:
 
 
 def scan_text(text: str | None, templates: Templates) -> tuple[str | None, float, int]:
-    """Best template, its coefficient, and the number of distinct segments that match any."""
-    hits = [h for s in segments(text or "") if (h := templates.best(s))]
+    """Best template, its coefficient, and the number of distinct segments and of windows beside them that match any."""
+    text = text or ""
+    words = words_of(text)
+    own = set(zip(words, words[1:]))  # noqa: B905
+    found = {s: h for s in segments(text) if (h := templates.best(s, own if s == text else None))}
+    hits = list(found.values())
+    if text not in found and (windows := templates.windows(words, own)):
+        spans = _spans(text, set(found)) if found else []
+        hits += [(dice, name) for dice, name, first, end in windows if not any(a <= first and end <= b for a, b in spans)]
     if not hits:
         return None, 0.0, 0
     dice, name = min(hits, key=lambda h: (-h[0], h[1]))
