@@ -157,3 +157,16 @@ def test_defined_cases(odd_docs, no_docs, clashing, as_set):
     gone = {d for d, _, _, kept in want if not kept and d is not None}
     assert sorted(map(repr, (r["doc_id"] for r in left.collect()))) == sorted(repr(d) for d, _ in rows if d not in gone)
     assert near_dup.deduplicated(no_docs).columns == no_docs.columns
+
+
+def test_rows_without_an_id_of_their_own(spark, as_set):
+    """Of rows with a null or a repeated id only the copies go."""
+    rng = random.Random(5)
+    copied, clean, other = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(40)) for c in "xyz")
+    near = copied + " tail"
+    rows = [(1, copied), (None, near), (None, clean), (None, None), (7, near), (7, other), (7, ""), (8, copied.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(1, copied), (None, clean), (None, None), (7, other), (7, "")]
+    assert as_set(near_dup.deduplicated(docs)) == sorted(kept, key=repr)
+    renamed = docs.selectExpr("doc_id AS key", "text AS mark", "'x' AS doc_id")
+    assert as_set(near_dup.deduplicated(renamed, id_col="key", text_col="mark")) == sorted(((*r, "x") for r in kept), key=repr)

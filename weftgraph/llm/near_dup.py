@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
@@ -107,11 +107,16 @@ def _signer(shingle: int, bands: int, rows: int):
                 keys.append(band_keys(minmax_signature(s, a, b), bands, rows) if len(s) else np.empty(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "cls", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), *batch.columns[2:]], names=["doc_id", "cls", "n", "bands", *batch.schema.names[2:]])
 
     return sign
 
 
+def _mark(text: Column) -> Column:
+    """Digest of a text, null for null."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _setter(shingle: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Hashes()
@@ -153,9 +158,9 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
-    id_col: str = "doc_id", text_col: str = "text"
+    id_col: str = "doc_id", text_col: str = "text", marks: bool = False
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``; with ``marks`` its text's ``mark`` too.
 
     Two documents are linked when ``100 * |A & B| >= percent * |A | B|`` on full sets.
     """
@@ -163,7 +168,8 @@ def near_duplicates(
     ship(spark)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    signed = materialize(slim.mapInArrow(_signer(shingle, bands, rows), f"doc_id {kind}, cls binary, n long, bands array<long>"), "signed")
+    marked = slim.withColumn("mark", _mark(slim["text"])) if marks else slim
+    signed = materialize(marked.mapInArrow(_signer(shingle, bands, rows), f"doc_id {kind}, cls binary, n long, bands array<long>{', mark binary' if marks else ''}"), "signed")
     # exact copies are one class from here on; partial aggregation collapses hot classes before the shuffle
     classes = signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
@@ -226,16 +232,19 @@ def near_duplicates(
     grouped = classes.select("cls", "rid").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = grouped.groupBy("comp").agg(F.min("rid").alias("component_id"))
     final = grouped.join(smallest, "comp").select("cls", "component_id")
-    out = signed.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(final, "cls", "left")
+    extra = ["mark"] if marks else []
+    out = signed.select("doc_id", "cls", F.col("n").alias("n_shingles"), *extra).join(final, "cls", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), *extra).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that aren't the smallest of their component; all columns stay.
+    """``docs`` without the rows that aren't the smallest of their component; all columns stay.
 
-    Rows that repeat a kept id all stay, as they are one document.
+    Rows that repeat a kept id with a text of its component all stay, as they are one document. Rows are told apart
+    by id and text, so of rows with a null or repeated id only those that ``near_duplicates`` doesn't keep go.
     """
-    gone = near_duplicates(docs, **options).filter("not kept").select("doc_id").distinct()
-    kept_too = materialize(gone, "gone")
-    return docs.join(kept_too, docs[options.get("id_col", "doc_id")].eqNullSafe(kept_too["doc_id"]), "left_anti")
+    gone = near_duplicates(docs, marks=True, **options).filter("not kept").select("doc_id", "mark").distinct()
+    gone = materialize(gone, "gone")
+    own, text = docs[options.get("id_col", "doc_id")], docs[options.get("text_col", "text")]
+    return docs.join(gone, own.eqNullSafe(gone["doc_id"]) & (_mark(text) == gone["mark"]), "left_anti")
