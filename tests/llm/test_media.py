@@ -106,3 +106,10 @@ def test_defined_cases(odd_docs, no_docs, clashing, as_set):
     by_id = {r["doc_id"]: r for r in got.collect() if r["doc_id"]}
     assert by_id[3]["payload_sha256"] == by_id[4]["payload_sha256"]
     assert media.payload_features(media.stored(no_docs)).count() == 0
+
+
+def test_query_reads_what_it_stored(spark, sf_dir):
+    """The features come from written media, not from the documents in the same plan."""
+    files = queries.op6_media_columns(spark, sf_dir).inputFiles()
+    assert files
+    assert all("/weftgraph/media-" in f for f in files)

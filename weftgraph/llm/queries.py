@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_text, license_scan, media, mixing, near_dup, topk, toxicity, url_filter, warc
-from .common import table
+from .common import materialize, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -38,7 +38,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.payload_features(media.stored(table(spark, sf_dir, "documents")))
+    return media.payload_features(materialize(media.stored(table(spark, sf_dir, "documents")), "media"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
