@@ -247,4 +247,5 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     gone = near_duplicates(docs, marks=True, **options).filter("not kept").select("doc_id", "mark").distinct()
     gone = materialize(gone, "gone")
     own, text = docs[options.get("id_col", "doc_id")], docs[options.get("text_col", "text")]
-    return docs.join(gone, own.eqNullSafe(gone["doc_id"]) & (_mark(text) == gone["mark"]), "left_anti")
+    # what goes grows with the input: a shuffle at every size, never a broadcast
+    return docs.join(gone.hint("merge"), own.eqNullSafe(gone["doc_id"]) & (_mark(text) == gone["mark"]), "left_anti")
