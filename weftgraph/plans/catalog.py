@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
@@ -143,12 +143,10 @@ query("SELECT id FROM contains WHERE returnflag = 'R' AND quantity >= 20 AND qua
 
 # traversals
 query("SELECT dst AS id FROM placed JOIN cust ON src = cust.id WHERE acctbal < 500", "customer order", "placed", name="outv")(lambda g: ids(g.V(acctbal__lt=500).outV()))
-query(f"SELECT src AS id FROM contains WHERE dst < {A + 50}", "part order", "contains", name="inv")(lambda g: ids(g.V(_id__lt=A + 50).inV()))
 query("SELECT dst AS id FROM nation_n JOIN ring ON src = nation_n.id UNION ALL SELECT src FROM nation_n JOIN ring ON dst = nation_n.id", name="bothv")(lambda g: ids(g.V().bothV()))
 query("SELECT placed.id FROM placed JOIN cust ON src = cust.id WHERE mktsegment = 'MACHINERY' AND totalprice > 1000", "customer order", "placed", name="oute")(lambda g: ids(g.V(mktsegment="MACHINERY").outE(totalprice__gt=1000)))
-query(f"SELECT id FROM contains WHERE dst < {A + 30} AND returnflag = 'A'", "part", "contains", name="ine")(lambda g: ids(g.V(_id__lt=A + 30).inE(returnflag="A")))
-query("SELECT src AS id FROM contains", "part order", "contains", name="inv_all")(lambda g: ids(g.V(kind="part").inV()))
-query("SELECT id FROM contains WHERE returnflag = 'A'", "part", "contains", name="ine_all")(lambda g: ids(g.V(kind="part").inE(returnflag="A")))
+query("SELECT src AS id FROM contains", "part order", "contains", name="inv")(lambda g: ids(g.V(kind="part").inV()))
+query("SELECT id FROM contains WHERE returnflag = 'A'", "part", "contains", name="ine")(lambda g: ids(g.V(kind="part").inE(returnflag="A")))
 query("SELECT r.id FROM ring r UNION ALL SELECT r.id FROM ring r", name="bothe")(lambda g: ids(g.V().bothE()))
 query("SELECT src AS id FROM placed WHERE totalprice > 300000", "customer order", "placed", name="edge_inv")(lambda g: ids(g.E(totalprice__gt=300000).inV()))
 query("SELECT dst AS id FROM placed WHERE totalprice > 300000", "customer order", "placed", name="edge_outv")(lambda g: ids(g.E(totalprice__gt=300000).outV()))
@@ -161,8 +159,8 @@ query("SELECT c.dst AS id, count(*) AS paths FROM ring a JOIN ring b ON a.dst =
 query("SELECT b.dst AS id, count(*) AS paths FROM ring a JOIN ring b ON a.dst = b.src WHERE a.weight < 4 AND b.weight < 4 GROUP BY b.dst", name="out_n2_filtered")(lambda g: counted(g.V().out_(2, weight__lt=4)))
 _BOTH = "SELECT src AS a, dst AS b FROM ring WHERE src <> dst UNION ALL SELECT dst, src FROM ring WHERE src <> dst"
 query(f"WITH h AS ({_BOTH}) SELECT y.b AS id, count(*) AS paths FROM h x JOIN h y ON x.b = y.a GROUP BY y.b", name="both_n2")(lambda g: counted(g.V().both_(2)))
-query("SELECT src AS root, arg_min(dst, md5(concat(id, ':', 7))) AS id FROM placed GROUP BY src", "customer order", "placed", name="random_outv")(lambda g: g.V(kind="customer").aka("r").random("outV", seed=7).frame().select(F.col("_a_r").alias("root"), F.col("_id").alias("id")))
-query("SELECT dst AS root, arg_min(id, md5(concat(id, ':', 3))) AS id FROM contains GROUP BY dst", "part", "contains", name="random_ine")(lambda g: g.V(kind="part").aka("r").random("inE", seed=3).frame().select(F.col("_a_r").alias("root"), F.col("_id").alias("id")))
+query("SELECT src AS root, arg_min(dst, md5(concat(id, ':', src, ':', 7))) AS id FROM placed GROUP BY src", "customer order", "placed", name="random_outv")(lambda g: g.V(kind="customer").aka("r").random("outV", seed=7).frame().select(F.col("_a_r").alias("root"), F.col("_id").alias("id")))
+query("SELECT dst AS root, arg_min(id, md5(concat(id, ':', dst, ':', 3))) AS id FROM contains GROUP BY dst", "part", "contains", name="random_ine")(lambda g: g.V(kind="part").aka("r").random("inE", seed=3).frame().select(F.col("_a_r").alias("root"), F.col("_id").alias("id")))
 
 
 @query(f"SELECT EXISTS (SELECT 1 FROM contains WHERE dst = {A + 3}) AS hit, false AS miss", "order part", "contains")
@@ -172,26 +170,11 @@ def contains_entity(g):
 
 
 # aliases
-_PAIR = "placed p JOIN contains x ON x.src = p.dst JOIN contains y ON y.src = p.dst"
-_FEW = f"p.src < {3 * STEP + 20}"
-_few = {"_id__lt": 3 * STEP + 20}
-
-
-def _pairs(g):
-    return g.V(kind="customer", **_few).outV().aka("order").outV().aka("a").inV().outV()
-
-
-query(f"SELECT p.dst AS o, x.dst AS a FROM placed p JOIN contains x ON x.src = p.dst WHERE {_FEW}", "customer order part", PC, name="aka_collect2")(lambda g: g.V(kind="customer", **_few).outV().aka("o").outV().aka("a").collect_frame("o", "a").drop("_ord"))
-query(f"SELECT p.src AS c, p.dst AS o, x.dst AS a FROM placed p JOIN contains x ON x.src = p.dst WHERE {_FEW}", "customer order part", PC, name="aka_collect3")(lambda g: g.V(kind="customer", **_few).aka("c").outV().aka("o").outV().aka("a").collect_frame("c", "o", "a").drop("_ord"))
 query("SELECT DISTINCT dst AS id FROM contains", "order part", "contains", name="dedup")(lambda g: ids(g.V(kind="order").outV().dedup()))
-query(f"SELECT DISTINCT p.src AS c, x.dst AS id FROM placed p JOIN contains x ON x.src = p.dst WHERE {_FEW}", "customer order part", PC, name="dedup_alias")(lambda g: g.V(kind="customer", **_few).aka("c").outV(2).dedup("c").frame().select(F.col("_a_c").alias("c"), F.col("_id").alias("id")))
-query(f"SELECT z.dst AS id, count(*) AS paths FROM placed p JOIN contains x ON x.src = p.dst JOIN contains y ON y.dst = x.dst JOIN contains z ON z.src = y.src WHERE {_FEW} AND z.dst <> x.dst GROUP BY z.dst", "customer order part", PC, name="without")(lambda g: counted(_pairs(g).without("a")))
-
-# the same over all customers; their names end in _all
-query("SELECT p.dst AS o, x.dst AS a FROM placed p JOIN contains x ON x.src = p.dst", "customer order part", PC, name="aka_collect2_all")(lambda g: g.V(kind="customer").outV().aka("o").outV().aka("a").collect_frame("o", "a").drop("_ord"))
-query("SELECT p.src AS c, p.dst AS o, x.dst AS a FROM placed p JOIN contains x ON x.src = p.dst", "customer order part", PC, name="aka_collect3_all")(lambda g: g.V(kind="customer").aka("c").outV().aka("o").outV().aka("a").collect_frame("c", "o", "a").drop("_ord"))
-query("SELECT DISTINCT p.src AS c, x.dst AS id FROM placed p JOIN contains x ON x.src = p.dst", "customer order part", PC, name="dedup_alias_all")(lambda g: g.V(kind="customer").aka("c").outV(2).dedup("c").frame().select(F.col("_a_c").alias("c"), F.col("_id").alias("id")))
-query("SELECT z.dst AS id, count(*) AS paths FROM placed p JOIN contains x ON x.src = p.dst JOIN contains y ON y.dst = x.dst JOIN contains z ON z.src = y.src WHERE z.dst <> x.dst GROUP BY z.dst", "customer order part", PC, name="without_all")(lambda g: counted(g.V(kind="customer").outV().outV().aka("a").inV().outV().without("a")))
+query("SELECT p.dst AS o, x.dst AS a FROM placed p JOIN contains x ON x.src = p.dst", "customer order part", PC, name="aka_collect2")(lambda g: g.V(kind="customer").outV().aka("o").outV().aka("a").collect_frame("o", "a").drop("_ord"))
+query("SELECT p.src AS c, p.dst AS o, x.dst AS a FROM placed p JOIN contains x ON x.src = p.dst", "customer order part", PC, name="aka_collect3")(lambda g: g.V(kind="customer").aka("c").outV().aka("o").outV().aka("a").collect_frame("c", "o", "a").drop("_ord"))
+query("SELECT DISTINCT p.src AS c, x.dst AS id FROM placed p JOIN contains x ON x.src = p.dst", "customer order part", PC, name="dedup_alias")(lambda g: g.V(kind="customer").aka("c").outV(2).dedup("c").frame().select(F.col("_a_c").alias("c"), F.col("_id").alias("id")))
+query("SELECT z.dst AS id, count(*) AS paths FROM placed p JOIN contains x ON x.src = p.dst JOIN contains y ON y.dst = x.dst JOIN contains z ON z.src = y.src WHERE z.dst <> x.dst GROUP BY z.dst", "customer order part", PC, name="without")(lambda g: counted(g.V(kind="customer").outV().outV().aka("a").inV().outV().without("a")))
 
 # aggregates and the expression language
 query("SELECT count(*) AS n FROM placed p JOIN contains c ON c.src = p.dst", "customer order part", PC, name="count_paths")(lambda g: one(g, n=g.V(kind="customer").outV(2).count()))
@@ -215,15 +198,13 @@ query("WITH s AS (SELECT dst AS id, count(*) AS n FROM contains GROUP BY dst) SE
 query("WITH s AS (SELECT dst AS id, sum(size) AS n FROM contains JOIN prt ON prt.id = dst GROUP BY dst) SELECT id, round(n / sum(n) OVER (), 12) AS value FROM s", "order part", "contains", name="percent_expr")(lambda g: g.V(kind="order").outV().percent("size").frame().select("id", F.round("value", 12).alias("value")))
 _TOP = "WITH s AS (SELECT o.dst AS id, CAST(count(*) AS BIGINT) AS value, min(cast(o.src AS HUGEINT) * 1000000000000 + o.id) AS first FROM contains o GROUP BY o.dst) SELECT id, value, row_number() OVER (ORDER BY value {}, first) AS rank FROM s ORDER BY rank LIMIT 15"
 query(_TOP.format("DESC"), "order part", "contains", name="sum_limit")(lambda g: top(g.V(kind="order").outV().sum(), 15))
-query(_TOP.format("ASC"), "order part", "contains", name="sum_asc")(lambda g: top(g.V(kind="order").outV().sum(asc=True), 15))
-query(_TOP.removesuffix(" ORDER BY rank LIMIT 15").format("ASC"), "order part", "contains", name="sum_asc_all")(lambda g: ranked_all(g.V(kind="order").outV().sum(asc=True)._sorted().select(F.col("_id").alias("id"), F.col("_v").alias("value"))))
+query(_TOP.removesuffix(" ORDER BY rank LIMIT 15").format("ASC"), "order part", "contains", name="sum_asc")(lambda g: ranked_all(g.V(kind="order").outV().sum(asc=True)._sorted().select(F.col("_id").alias("id"), F.col("_v").alias("value"))))
 query(f"WITH s AS (SELECT o.dst AS id, count(*) AS value, min(cast(o.src AS HUGEINT) * 1000000000000 + o.id) AS first FROM contains o GROUP BY o.dst), t AS (SELECT id FROM s ORDER BY value DESC, first LIMIT 5) SELECT src AS id, count(*) AS paths FROM contains WHERE dst IN (SELECT id FROM t) GROUP BY src", "order part", "contains", name="sum_entities_next")(lambda g: counted(g.V(kind="order").outV().sum().limit(5).entities().inV()))
 
 # order and limits
-for _name, _clauses, _order in (("order_asc", ("name",), "name, id"), ("order_desc", ("-retailprice",), "retailprice DESC, id"), ("order_mix", ("brand", "-size"), "brand, size DESC, id"), ("order_limit", ("-size", "+name"), "size DESC, name, id")):
-    query(f"SELECT id, row_number() OVER (ORDER BY {_order}) AS rank FROM prt ORDER BY rank LIMIT 50", P, name=_name)(lambda g, c=_clauses: ranked(g.V().order_by(*c), 50))
-    if _name != "order_limit":
-        query(f"SELECT id, row_number() OVER (ORDER BY {_order}) AS rank FROM prt", P, name=f"{_name}_all")(lambda g, c=_clauses: ranked_all(g.V().order_by(*c).frame().select(F.col("_id").alias("id"))))
+for _name, _clauses, _order in (("order_asc", ("name",), "name, id"), ("order_desc", ("-retailprice",), "retailprice DESC, id"), ("order_mix", ("brand", "-size"), "brand, size DESC, id")):
+    query(f"SELECT id, row_number() OVER (ORDER BY {_order}) AS rank FROM prt", P, name=_name)(lambda g, c=_clauses: ranked_all(g.V().order_by(*c).frame().select(F.col("_id").alias("id"))))
+query("SELECT id, row_number() OVER (ORDER BY size DESC, name, id) AS rank FROM prt ORDER BY rank LIMIT 50", P, name="order_limit")(lambda g: ranked(g.V().order_by("-size", "+name"), 50))
 query("SELECT dst AS id, row_number() OVER (ORDER BY src, id) AS rank FROM contains ORDER BY rank LIMIT 40", "order part", "contains", name="limit_ordered")(lambda g: ranked(g.V(kind="order").outV().limit(40), 40))
 
 # set algebra
@@ -275,14 +256,8 @@ def bulk_add_edges(g):
     return g.edges.select("id", "src", "dst")
 
 
-@query(f"SELECT a.src, b.dst FROM ring a JOIN ring b ON a.dst = b.src WHERE a.src < {2 * STEP + 3}")
-def script_add_edge(g):
-    g.V(_id__lt=2 * STEP + 3).aka("x").outV(2).aka("y").call("add_edge", "x", "y", made=1)
-    return g.E(made=1)._s.matching("e", {"made": 1}).select("src", "dst")
-
-
 @query("SELECT a.src, b.dst FROM ring a JOIN ring b ON a.dst = b.src")
-def script_add_edge_all(g):
+def script_add_edge(g):
     g.V(kind="nation").aka("x").outV(2).aka("y").call("add_edge", "x", "y", made=1)
     return g.E(made=1)._s.matching("e", {"made": 1}).select("src", "dst")
 
@@ -341,16 +316,56 @@ query(_rounds("1"), recursive=True, name="dijkstra_unit")(lambda g: paths.distan
 query(_rounds("weight", "AND r.dist + e.w <= 9"), recursive=True, name="dijkstra_cutoff")(lambda g: paths.distances(g, N0, cutoff=9, weight="weight").select("id", F.col("dist").cast("long").alias("dist")))
 
 
-@query(f"WITH a AS ({_rounds('weight').replace('WITH e', 'WITH RECURSIVE e', 1)}) SELECT dist AS cost, true AS closed FROM a WHERE id = {N0 + 20}", recursive=False)
+
+
+def _closed(g: PropertyGraph, path: list, cost: int) -> bool:
+    """Whether the least edges along a path add up to its cost."""
+    steps = [(a.get_id(), b.get_id()) for a, b in zip(path, path[1:], strict=False)]
+    on = g.spark.createDataFrame(steps, "src long, dst long")
+    return on.join(g.edges.groupBy("src", "dst").agg(F.min("weight").alias("w")), ["src", "dst"]).agg(F.sum("w")).first()[0] == cost
+
+
+def _ahead(target: int) -> Column:
+    """No edge of the ring spans more than seven nodes or costs less than 1."""
+    return F.ceil(F.pmod(F.lit(target) - F.col("id"), F.lit(25)) / 7)
+
+
+_recursive = lambda weight: _rounds(weight).replace("WITH e", "WITH RECURSIVE e", 1)
+
+
+@query(f"WITH a AS ({_recursive('weight')}) SELECT dist AS cost, true AS closed FROM a WHERE id = {N0 + 20}")
 def dijkstra_path(g):
     cost, path = paths.dijkstra_path(g, g.v(N0), g.v(N0 + 20), weight="weight")
-    hops = list(zip(path, path[1:], strict=False))
-    least = {(r["src"], r["dst"]): r["w"] for r in g.edges.groupBy("src", "dst").agg(F.min("weight").alias("w")).collect()}
-    return one(g, cost=int(cost), closed=sum(least[a.get_id(), b.get_id()] for a, b in hops) == cost)
+    return one(g, cost=int(cost), closed=_closed(g, path, int(cost)))
+
+
+query(f"WITH a AS ({_recursive('weight')}) SELECT dist AS cost FROM a WHERE id = {N0 + 13}", name="astar_length")(lambda g: one(g, cost=int(paths.astar_path_length(g, g.v(N0), g.v(N0 + 13), _ahead(N0 + 13), "weight"))))
+
+
+@query(f"WITH a AS ({_recursive('weight')}) SELECT dist AS cost, true AS closed, {N0} AS first, {N0 + 19} AS last FROM a WHERE id = {N0 + 19}")
+def astar_path(g):
+    path = paths.astar_path(g, g.v(N0), g.v(N0 + 19), _ahead(N0 + 19), "weight")
+    cost = int(paths.astar_path_length(g, g.v(N0), g.v(N0 + 19), lambda data, goal: 0, "weight"))
+    return one(g, cost=cost, closed=_closed(g, path, cost), first=path[0].get_id(), last=path[-1].get_id())
+
+
+# over the large relations: the orders and parts within reach of the customer of the first order
+_ROOT = "(SELECT src FROM placed ORDER BY id LIMIT 1)"
+_FAR = f"a AS (SELECT dst AS id, 1.0::DOUBLE AS dist FROM placed WHERE src = {_ROOT}), b AS (SELECT c.dst AS id, min(a.dist + {{}}) AS dist FROM a JOIN contains c ON c.src = a.id GROUP BY c.dst)"
+
+
+def _reached(weight: str) -> str:
+    return f"WITH {_FAR.format(weight)} SELECT {_ROOT} AS id, 0.0::DOUBLE AS dist UNION ALL SELECT * FROM a UNION ALL SELECT * FROM b"
+
+
+def _from_first(g: PropertyGraph, weight: str | None) -> DataFrame:
+    root = g.edges.filter("rel = 'placed'").orderBy("id").first()["src"]
+    rated = PropertyGraph(g.nodes, g.edges.withColumn("quantity", F.coalesce("quantity", F.lit(1.0))))
+    return paths.distances(rated, root, weight=weight).select("id", F.col("dist").cast("double").alias("dist"))
 
 
-query(f"WITH a AS ({_rounds('weight').replace('WITH e', 'WITH RECURSIVE e', 1)}) SELECT dist AS cost FROM a WHERE id = {N0 + 13}", name="astar_length")(lambda g: one(g, cost=int(paths.astar_path_length(g, g.v(N0), g.v(N0 + 13), lambda a, b: 0, "weight"))))
-query(f"SELECT {N0} AS first, {N0 + 7} AS last, 1::BIGINT AS hops", name="astar_path")(lambda g: (lambda p: one(g, first=p[0].get_id(), last=p[-1].get_id(), hops=len(p) - 1))(paths.astar_path(g, g.v(N0), g.v(N0 + 7))))
+query(_reached("1"), "customer order part", PC, name="dijkstra_orders")(lambda g: _from_first(g, None))
+query(_reached("c.quantity"), "customer order part", PC, name="dijkstra_quantities")(lambda g: _from_first(g, "quantity"))
 
 # tutorials
 _REC = "WITH s AS (SELECT c.dst AS id, CAST(count(*) AS BIGINT) AS value FROM cust JOIN placed p ON p.src = cust.id JOIN contains c ON c.src = p.dst WHERE mktsegment = 'BUILDING' GROUP BY c.dst) SELECT id, value FROM s WHERE value >= (SELECT min(value) FROM (SELECT value FROM s ORDER BY value DESC LIMIT 10))"
@@ -366,11 +381,10 @@ def recommend_parts(g):
 
 query("SELECT p.src AS id, r.dst AS grandparent FROM cust_nation p JOIN in_region r ON r.src = p.dst", "customer nation region", "cust_nation in_region", name="grandparent")(lambda g: g.V(kind="customer").aka("c").outV(2).frame().select(F.col("_a_c").alias("id"), F.col("_id").alias("grandparent")))
 query("SELECT a.src AS id, b.src AS sibling FROM in_region a JOIN in_region b ON a.dst = b.dst WHERE a.src <> b.src", "nation region", "in_region", name="siblings")(lambda g: g.V(kind="nation").aka("n").outV().inV().without("n").frame().select(F.col("_a_n").alias("id"), F.col("_id").alias("sibling")))
-query(f"SELECT a.src AS id, d.src AS cousin FROM cust_nation a JOIN in_region b ON b.src = a.dst JOIN in_region c ON c.dst = b.dst JOIN cust_nation d ON d.dst = c.src WHERE a.src < {3 * STEP + 5} AND c.src <> a.dst", "customer nation region", "cust_nation in_region", name="cousins")(lambda g: g.V(kind="customer", _id__lt=3 * STEP + 5).aka("c").outV().aka("n").outV().inV().without("n").inV().frame().select(F.col("_a_c").alias("id"), F.col("_id").alias("cousin")))
 
 
 @query("SELECT a.src AS id, c.src AS nation, d.cousins FROM cust_nation a JOIN in_region b ON b.src = a.dst JOIN in_region c ON c.dst = b.dst JOIN (SELECT dst, count(*) AS cousins FROM cust_nation GROUP BY dst) d ON d.dst = c.src WHERE c.src <> a.dst", "customer nation region", "cust_nation in_region")
-def cousins_all(g):
+def cousins(g):
     """All customers with the number of their cousins in each nation; the pairs themselves grow with the square of the table."""
     near = g.V(kind="customer").aka("c").outV().aka("n").outV().inV().without("n").frame().select(F.col("_a_c").alias("id"), F.col("_id").alias("nation"))
     living = counted(g.V(kind="customer").outV()).select(F.col("id").alias("nation"), F.col("paths").alias("cousins"))
