@@ -13,9 +13,12 @@ from weftgraph.streaming.edges import degrees, enriched
 
 def test_replay(trio):
     assert commands.replay(trio, [["V", [], {"name": "Ada"}], ["outV", [2], {}], ["ids", [], {}]]) == [2]
-    for name in ("_now", "spark", "__class__"):
+    for name in ("_now", "spark", "__class__", "write", "save", "setup_server_scripts", "nx_graph", "close", "append_nodes"):
         with pytest.raises(errors.GraphError):
             commands.replay(trio, [[name, [], {}]])
+    for chain in (["frame", "count"], ["counts", "count"], ["dot", "frames"], ["ids", "append"]):
+        with pytest.raises(errors.GraphError):
+            commands.replay(trio, [["V", [], {}], *([name, [], {}] for name in chain)])
 
 
 def test_marshal(trio):
@@ -51,6 +54,13 @@ def test_server_and_client(trio):
                 far.union(far.V(), far.E()).run("ids")
             with pytest.raises(errors.InvalidDataType):
                 far.V(name=object()).run()
+            with pytest.raises(errors.InvalidDataType):
+                far.V(name__in=[{"deep": (object(),)}]).run()
+            assert far.V(name__in={"Ada", "Cy"}).run("ids") == [0, 2]
+            assert far.V().run("next")["id"] == 0
+            with pytest.raises(errors.GraphError, match="can't be called") as refused:
+                far.V().frame().run("count")
+            assert "Traceback" not in str(refused.value)
         finally:
             server.shutdown()
 
@@ -68,10 +78,11 @@ def test_scripts(trio):
 
 def test_settings(tmp_path):
     ini = tmp_path / "own.ini"
-    ini.write_text("[server]\naddress = 0.0.0.0:1\n[backend]\npath = /store\n[scripts]\nmodules = a b\n")
+    ini.write_text("[server]\naddress = 0.0.0.0:1\n[backend]\npath = /store\nkeep = 2\n[scripts]\nmodules = a b\n")
     own = settings(["-c", str(ini)])
-    assert (own.address, own.backend, own.scripts) == ("0.0.0.0:1", "/store", ["a", "b"])
-    own = settings(["-c", str(ini), "-a", "h:2", "-b", "/x", "-s", "m"])
+    assert (own.address, own.backend, own.scripts, own.params) == ("0.0.0.0:1", "/store", ["a", "b"], {"keep": "2"})
+    own = settings(["-c", str(ini), "-a", "h:2", "-b", "/x", "-s", "m", "-p", "keep:3"])
+    assert own.params == {"keep": "3"}
     assert (own.address, own.backend, own.scripts) == ("h:2", "/x", ["m"])
     assert settings([]).address == "127.0.0.1:5555"
 
@@ -86,3 +97,32 @@ def test_stream_of_edges(trio, spark, tmp_path):
         assert q.awaitTermination(120)
     assert sorted((r["src_name"], r["dst_name"]) for r in spark.table("joined").collect()) == [("Ada", "Bo"), ("Ada", "Cy"), ("Bo", "Cy")]
     assert sorted((r["src"], r["edges"]) for r in spark.table("counted").collect()) == [(0, 2), (1, 1)]
+
+
+def test_local_socket_and_client_errors(trio, tmp_path):
+    address = f"ipc://{tmp_path}/own.sock"
+    with commands.serve(trio, address) as server:
+        running = threading.Thread(target=server.serve_forever, daemon=True)
+        running.start()
+        far = commands.Client(address)
+        assert [e["id"] for e in far.V(rank=1)] == [0, 1]
+        with pytest.raises(errors.NotIterable):
+            list(far.V().count())
+        with pytest.raises(errors.NotInteger):
+            far.V().limit("2")
+        assert commands.stop(address) == "ok"
+        running.join(20)
+        assert not running.is_alive()
+
+
+def test_scripts_check_their_aliases(trio):
+    t = trio.V(name="Ada").aka("x").outE().aka("y")
+    with pytest.raises(errors.InvalidDataType):
+        t.call("add_edge", "x", "y")
+    with pytest.raises(errors.UnknownAlias):
+        t.call("add_edge", "x", "z")
+
+
+def test_addresses():
+    assert commands.place("tcp://h:1") == commands.place("h:1") == commands.place(("h", "1")) == ("h", 1)
+    assert commands.place("ipc:///tmp/s") == "/tmp/s"

@@ -37,6 +37,10 @@ class IndexCreationFailed(GraphError):
     """An index without fields."""
 
 
+class IncompetentIndex(GraphError):
+    """An index was asked for a lookup that it can't serve."""
+
+
 class IndexRemovalFailed(GraphError):
     """No such index."""
 
@@ -49,6 +53,22 @@ class InvalidDataType(GraphError):
     """A field name or value that entities can't hold."""
 
 
+class MissingKey(GraphError):
+    """A store lacks something that it must hold."""
+
+
+class NotIterable(GraphError):
+    """A client asked for the items of something that has none."""
+
+
+class NotInteger(GraphError):
+    """A client gave something else where a whole number is needed."""
+
+
+class UnknownEntity(GraphError):
+    """A handle on a node or edge that isn't there."""
+
+
 class UnknownScript(GraphError):
     """A script name that no module registers."""
 
