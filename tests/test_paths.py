@@ -4,6 +4,7 @@ import heapq
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.errors import UnreachableNode
 from weftgraph.graph import PropertyGraph
@@ -100,3 +101,28 @@ def test_zero_weights_make_no_cycle(spark):
     g.bulk_add_edge_by_ids([(0, 1, {"t": 1}), (1, 2, {"t": 0}), (2, 1, {"t": 0}), (2, 3, {"t": 0}), (3, 2, {"t": 0})])
     cost, path = paths.dijkstra_path(g, g.v(0), g.v(3), weight="t")
     assert (cost, [n.get_id() for n in path]) == (1, [0, 1, 2, 3])
+
+
+def test_long_chains_and_columns_as_estimates(spark):
+    """More hops than frames are kept before they are merged; nothing ends the search but an empty frontier."""
+    g = PropertyGraph.empty(spark)
+    n = 2 * paths.MERGE + 3
+    g.bulk_add_node([{"x": i} for i in range(n)])
+    g.bulk_add_edge_by_ids([(i, i + 1, {"t": 1 + i % 2}) for i in range(n - 1)])
+    far = {r["id"]: r["dist"] for r in paths.distances(g, 0).collect()}
+    assert far == {i: i for i in range(n)}
+    cost, route = paths.dijkstra_path(g, g.v(0), g.v(n - 1), weight="t")
+    assert (cost, [v.get_id() for v in route]) == (sum(1 + i % 2 for i in range(n - 1)), list(range(n)))
+    g.add_edge_by_ids(0, 12, t=3)
+    g.add_edge_by_ids(1, 0, t=1)
+    best = paths.astar_path(g, g.v(0), g.v(14), F.lit(14) - F.col("x"), "t")
+    assert [v.get_id() for v in best] == [0, 12, 13, 14]
+
+
+def test_an_estimate_leaves_nodes_out(spark):
+    g = PropertyGraph.empty(spark)
+    g.bulk_add_node([{"x": i} for i in range(8)])
+    g.bulk_add_edge_by_ids([(0, 1, {"t": 1}), (0, 2, {"t": 1}), (2, 3, {"t": 1}), (3, 4, {"t": 1}), (2, 5, {"t": 1}), (5, 6, {"t": 1})])
+    ahead = g.nodes.select(F.col("id").alias("_n"), F.when(F.col("x") <= 1, 0.0).otherwise(9.0).alias("_h"))
+    assert {r["id"] for r in paths.distances(g, 0, 1, weight="t", estimates=ahead).collect()} == {0, 1}
+    assert 2 not in {r["id"] for r in paths.distances(g, 0, 1, weight="t", estimates=ahead).collect()}
