@@ -7,7 +7,7 @@ import pytest
 from weftgraph import errors
 from weftgraph.graph import PropertyGraph
 from weftgraph.sources.export import simple_edges
-from weftgraph.sources.files import edge_list
+from weftgraph.sources.files import ParquetStore, edge_list
 from weftgraph.sources.star import Star
 from weftgraph.storage import numbered
 
@@ -101,3 +101,22 @@ def test_numbering_keeps_the_order_of_rows(spark):
     got = {r["x"]: r["no"] for r in numbered(df, "no", 10).collect()}
     assert got == {x: 10 + x - 500 for x in range(500, 1000)}
     assert numbered(spark.range(0), "no").count() == 0
+
+
+def test_store_versions(trio, tmp_path, spark):
+    store = ParquetStore(str(tmp_path / "store"), keep=1)
+    trio.save(store)
+    first = store.load(spark)
+    staged = store.stage(trio)
+    assert store.load(spark).V().count() == 3
+    store.commit(trio, staged)
+    trio.add_node(name="Dee")
+    assert store.load(spark).V().count() == 3
+    trio.save(store)
+    assert store.load(spark).V().count() == 4
+    assert store.load(spark, staged).V().count() == 3
+    with pytest.raises(errors.MissingKey):
+        store.load(spark, "0" * 32)
+    assert len([p for p in (tmp_path / "store").iterdir() if len(p.name) == 32]) == 2
+    with pytest.raises(Exception, match="(?i)not exist|no such"):
+        first.V().count()

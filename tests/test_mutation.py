@@ -163,3 +163,100 @@ def test_a_typed_field_widens(trio, tmp_path, spark):
     assert PropertyGraph.load(spark, str(tmp_path / "store")).V(age__isnull=False).data("age") == trio.V().data("age")
     trio.v(1).update(name={"first": "Bo"})
     assert trio.V().data("name")[:2] == [{"name": "Ada"}, {"name": {"first": "Bo"}}]
+
+
+def test_many_single_additions_leave_a_small_plan(spark):
+    g = PropertyGraph.empty(spark)
+    first = g.add_node(n=0)
+    plan = lambda: len(g.nodes._jdf.queryExecution().optimizedPlan().toString())
+    for i in range(1, 1000):
+        node = g.add_node(n=i)
+        if i % 3 == 0:
+            g.add_edge(first, node, w=i)
+        if i % 250 == 0:
+            assert g.nodes.filter(f"n = {i}").count() == 1
+    assert plan() < 15_000
+    assert g.V().count() == 1000
+    assert g.E().sum("w").frame().agg({"value": "sum"}).first()[0] == sum(range(3, 1000, 3))
+    for i in range(20):
+        g.v(0).update(n=-i)
+    assert plan() < 15_000
+    assert g.v(0).n == -19
+
+
+def test_batch(trio, spark):
+    with trio.batch() as b:
+        dee = b.add_node(name="Dee")
+        b.add_edge(trio.v(0), dee, label="new")
+        b.add_edge(dee, trio.v(1))
+        b.update(trio.v(0), age=21, extra=True)
+        b.update(trio.v(0), age=22)
+        b.update(trio.v(2), name="Zoe", note="z")
+        b.remove(trio.v(1))
+        assert trio.V().ids() == [0, 1, 2]
+    assert trio.V().ids() == [0, 2, 3]
+    assert trio.E().data("label") == [{"label": "new"}]
+    assert trio.v(0).data() == {"rank": 1, "age": 22, "name": "Ada", "note": "only here", "extra": True}
+    assert trio.v(2).data() == {"rank": 2, "age": 30, "name": "Zoe", "note": "z"}
+    with pytest.raises(errors.DataError):
+        b.apply()
+
+
+def test_a_batch_that_fails_changes_nothing(trio):
+    with pytest.raises(errors.DataError), trio.batch() as b:
+        b.add_node(name="Dee")
+        b.remove(trio.v(0))
+        b.add_edge(trio.v(0), trio.v(99))
+    with pytest.raises(ZeroDivisionError), trio.batch() as b:
+        b.add_node(name="Dee")
+        raise ZeroDivisionError
+    with pytest.raises(errors.InvalidDataType), trio.batch() as b:
+        b.add_edge("a", trio.v(0))
+    assert trio.V().ids() == [0, 1, 2]
+    a, b = trio.batch(), trio.batch()
+    a.add_node(name="x")
+    b.add_node(name="y")
+    b.update(trio.v(0), name="later")
+    a.update(trio.v(0), name="first")
+    a.merge(b)
+    a.apply()
+    assert sorted(n["name"] for n in trio.V().data()) == ["Bo", "Cy", "later", "x", "y"]
+
+
+def test_fields_that_bear_system_names(spark, tmp_path):
+    g = PropertyGraph.empty(spark)
+    a, b = g.bulk_add_node([{"id": "x7", "src": 1, "ID2": 1}, {"id": "x8", "dst": 2}])
+    g.add_edge(a, b, id=5, src="here", dst="there")
+    g.v(1).update(id="x9")
+    assert g.V(id="x7").ids() == [0]
+    assert g.V().data() == [{"id": "x7", "src": 1, "ID2": 1}, {"id": "x9", "dst": 2}]
+    assert g.E(id=5, src="here").data("id", "dst", flat=True) == [[5, "there"]]
+    assert g.E().sum("id * 2").pairs() == [(0, 10)]
+    assert g.V().order_by("-id").ids() == [1, 0]
+    assert '[label="x7"]' in str(g.V().dot(node_label="id"))
+    g.write(str(tmp_path / "dump.json"))
+    copy = PropertyGraph.empty(spark)
+    copy.read(str(tmp_path / "dump.json"))
+    assert copy.V().data() == g.V().data()
+    assert copy.E().data() == g.E().data()
+    copy.append_nodes(spark.createDataFrame([("x1", 4)], "id string, src long"))
+    assert copy.V(id="x1", src=4).ids() == [2]
+
+
+def test_stored_indexes_answer_scans_alone(trio, tmp_path, spark):
+    trio.add_node_index("rank", "age")
+    trio.add_node_index("name", rank=1)
+    trio.add_edge_index("label")
+    path = str(tmp_path / "store")
+    trio.save(path)
+    back = PropertyGraph.load(spark, path)
+    source = lambda **f: back.V(**f).frame().inputFiles()[0]
+    for filters, where in (({"rank": 1, "age__in": [20, 30]}, "index-v-0"), ({"name": "Bo", "rank": 1}, "index-v-1"), ({"name": "Bo"}, "nodes"), ({"rank": 1, "age__gt": 20}, "nodes"), ({"rank": 1}, "nodes")):
+        assert f"/{where}/" in source(**filters)
+        assert back.V(**filters).ids() == trio.V(**filters).ids()
+    assert "/index-e-0/" in back.E(label="likes").frame().inputFiles()[0]
+    index = back._now.indexes["v"][0]
+    with pytest.raises(errors.IncompetentIndex):
+        index.ids({"rank": 1})
+    back.v(0).update(rank=7)
+    assert back.V(rank=1, age__in=[20, 30]).ids() == [1]

@@ -145,7 +145,7 @@ def test_random_draws_one_neighbour_a_row(mesh):
 
 def test_entities(trio):
     bo = trio.v(1)
-    assert (bo.get_id(), bo.name, bo.get("note"), bo.get("note", 5), repr(bo)) == (1, "Bo", None, 5, "<Node id:1>")
+    assert (bo.get_id(), bo.name, bo.get("note"), bo.get("note", 5), repr(bo)) == (1, "Bo", None, 5, "<Node id:1 data:{'rank': 1, 'age': 30, 'name': 'Bo'}>")
     with pytest.raises(AttributeError):
         bo.note
     assert bo == trio.V(name="Bo").next() != trio.v(2)
@@ -167,3 +167,35 @@ def test_closed(trio):
     for f in (trio.V, trio.E, lambda: trio.v(0), lambda: trio.e(0), lambda: trio.add_node(a=1)):
         with pytest.raises(errors.DataError):
             f()
+
+
+def test_rows_at_one_node_draw_apart(spark):
+    """Rows that meet at one node each draw for themselves."""
+    g = PropertyGraph.empty(spark)
+    g.bulk_add_node([{}] * 205)
+    g.bulk_add_edge_by_ids([(i, 200, {}) for i in range(200)] + [(200, 201 + k, {}) for k in range(4)])
+    for seed in (1, 2):
+        drawn = g.V(_id__lt=200).outV().random("outV", seed=seed).ids()
+        assert len(drawn) == 200
+        assert all(25 <= drawn.count(201 + k) <= 80 for k in range(4))
+    assert g.V(_id__lt=200).outV().random("outV").ids() != g.V(_id__lt=200).outV().random("outV").ids()
+
+
+def test_whole_powers_are_exact(spark):
+    g = PropertyGraph.empty(spark)
+    g.bulk_add_node([{"k": 3, "n": 39, "m": -1}, {"k": -2, "n": 63, "m": 0}, {"k": 1, "n": 500, "m": 2}, {"k": 0, "n": 64, "m": 5}, {"k": -1, "n": 1001, "m": 1}])
+    assert g.V(k=3).sum("k**39").pairs() == [(0, 3**39)]
+    assert sorted(g.V().sum("k**n").pairs()) == [(0, 3**39), (1, -(2**63)), (2, 1), (3, 0), (4, -1)]
+    assert sorted(g.V().sum("k**0").pairs()) == [(i, 1) for i in range(5)]
+    assert g.V(k=3).sum("k**2.0").pairs() == [(0, 9.0)]
+    for bad in ("k**40", "k**m"):
+        with pytest.raises(Exception, match="power beyond|negative exponent"):
+            g.V(k=3).sum(bad).pairs()
+
+
+def test_next_starts_again_after_the_last(trio):
+    t = trio.V()
+    assert [t.next().get_id() for _ in range(3)] == [0, 1, 2]
+    with pytest.raises(StopIteration):
+        t.next()
+    assert t.next().get_id() == 0

@@ -42,6 +42,23 @@ def _as_number(v: tuple[Column, str]) -> tuple[Column, str]:
     return (v[0].cast("long"), "int") if v[1] == "bool" else v
 
 
+def power(a: tuple[Column, str], b: tuple[Column, str]) -> tuple[Column, str]:
+    """Whole powers, exact or an error: squares of the base, one for each binary digit of the exponent.
+
+    An exponent of 64 or more leaves only 0, 1 and -1 within a long; a negative exponent is an error, as its value is no
+    whole number.
+    """
+    base, n = a[0], b[0]
+    out, square = F.lit(1).cast("long"), base
+    for bit in range(6):
+        out = F.when(F.shiftright(n, bit).bitwiseAND(F.lit(1).cast("long")) == 1, F.try_multiply(out, square)).otherwise(out)
+        square = F.try_multiply(square, square)
+    small = F.when(base == 0, F.lit(0)).when(base == 1, F.lit(1)).when(base == -1, F.when(n % 2 == 0, 1).otherwise(-1))
+    out = F.when(n < 64, out).otherwise(small.cast("long"))
+    failed = F.raise_error(F.when(n < 0, F.lit("a negative exponent: write the base as a float")).otherwise(F.lit("a power beyond 64 bits"))).cast("long")
+    return F.when(base.isNull() | n.isNull(), F.lit(None).cast("long")).when((n < 0) | out.isNull(), failed).otherwise(out), "int"
+
+
 def _leaf(col: Column, t: T.DataType, what: str) -> tuple[Column, str]:
     if isinstance(t, T.BooleanType):
         return col, "bool"
@@ -119,8 +136,7 @@ def build(node: ast.expr, field: Resolver, alias: Callable[[str, str], tuple[Col
                 return q - F.when((a[0] % b[0] != 0) & ((a[0] < 0) != (b[0] < 0)), 1).otherwise(0), "int"
             return F.floor(a[0] / b[0]).cast("double"), "float"
         if isinstance(op, ast.Pow):
-            p = F.pow(a[0].cast("double"), b[0].cast("double"))
-            return (p.cast("long"), "int") if whole else (p, "float")
+            return power(a, b) if whole else (F.pow(a[0].cast("double"), b[0].cast("double")), "float")
         raise InvalidExpression(type(op).__name__)
 
     def compare(n: ast.Compare) -> tuple[Column, str]:

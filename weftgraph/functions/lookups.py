@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidLookup, SubLookupNotImplemented
 from . import variant
+from .validate import column_of
 
 LOOKUPS = frozenset("exact iexact contains icontains in gt gte lt lte startswith istartswith endswith iendswith isnull".split())
 
@@ -170,7 +171,7 @@ def condition(schema: T.StructType, filters: Mapping[str, object], reserved: fro
     out = []
     for key, value in filters.items():
         field, lookup = parse(key)
-        name = "id" if field == "_id" else field
+        name = "id" if field == "_id" else column_of(field)
         known = name in schema.names and (field == "_id" or name not in reserved)
         out.append(predicate(F.col(name) if known else None, schema[name].dataType if known else None, lookup, value))
     return reduce(Column.__and__, out) if out else None

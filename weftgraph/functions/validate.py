@@ -14,6 +14,18 @@ from pyspark.sql import types as T
 from ..errors import InvalidDataType
 
 FIELD = re.compile(r"[a-zA-Z][a-zA-Z0-9_]*\Z")
+#: Columns that a graph's frames have besides fields.
+SYSTEM = frozenset(("id", "src", "dst"))
+
+
+def column_of(field: str) -> str:
+    """The column that holds a field: fields that bear a system column's name, in any case, get the underscore that no
+    field may end with."""
+    return f"{field}_" if field.lower() in SYSTEM else field
+
+
+def field_of(column: str) -> str:
+    return column.removesuffix("_")
 
 
 def check_name(name: object) -> None:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .validate import field_of
+
 _NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL.*)$"
 
 
@@ -78,5 +80,5 @@ def plain(value: object) -> object:
 
 
 def data_of(row: Row, hidden: frozenset[str] | set[str] = frozenset()) -> dict:
-    """The fields that an entity has; a null is an absent field."""
-    return {k: plain(v) for k, v in row.asDict().items() if v is not None and k not in hidden}
+    """The fields that an entity has, by their columns; a null is an absent field."""
+    return {field_of(k): plain(v) for k, v in row.asDict().items() if v is not None and k not in hidden}

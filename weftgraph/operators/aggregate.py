@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as language
+from ..functions.validate import column_of
 
 if TYPE_CHECKING:
     from .traversal import Traversal
@@ -32,11 +33,11 @@ class EntityAggregate:
 
             def attach(df: DataFrame, key: str, of_kind: str, names: set[str], tag: str) -> DataFrame:
                 have = s.of(of_kind)
-                own = sorted(n for n in names if n in have.columns and n not in s.reserved(of_kind))
-                types.update({(tag, n): have.schema[n].dataType for n in own})
+                own = sorted(n for n in names if column_of(n) in have.columns)
+                types.update({(tag, n): have.schema[column_of(n)].dataType for n in own})
                 if not own:
                     return df
-                props = have.select(F.col("id").alias("_k"), *(F.col(n).alias(f"{tag}{n}") for n in own))
+                props = have.select(F.col("id").alias("_k"), *(F.col(column_of(n)).alias(f"{tag}{n}") for n in own))
                 return df.join(props, df[key] == props["_k"], "left").drop("_k")
 
             by_rows = bool(pairs)

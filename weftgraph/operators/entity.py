@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import variant
+from ..functions.validate import check_data
 from .traversal import Traversal
 
-_PLAIN = frozenset(("_s", "_i"))
-
 
 class Entity:
     kind = ""
 
-    def __init__(self, snapshot, i: int):
-        object.__setattr__(self, "_s", snapshot)
+    def __init__(self, graph, i: int):
+        object.__setattr__(self, "_g", graph)
         object.__setattr__(self, "_i", i)
 
     def get_id(self) -> int:
@@ -22,7 +21,7 @@ class Entity:
 
     def _now(self):
         """The graph's current snapshot, so that updates show."""
-        return self._s.graph._snapshot()
+        return self._g._snapshot()
 
     def _row(self):
         return self._now().of(self.kind).filter(F.col("id") == self._i).first()
@@ -33,7 +32,7 @@ class Entity:
 
     def data(self) -> dict:
         row = self._row()
-        return {} if row is None else variant.data_of(row, self._s.reserved(self.kind))
+        return {} if row is None else variant.data_of(row, self._now().reserved(self.kind))
 
     def get(self, field: str, default: object = None) -> object:
         return self.data().get(field, default)
@@ -47,36 +46,42 @@ class Entity:
         return data[field]
 
     def __setattr__(self, field: str, value: object) -> None:
-        self._s.graph.update_data(self.kind, self._i, field, value)
+        self._g.update_data(self.kind, self._i, field, value)
 
     def update(self, **data: object) -> None:
-        self._lift().update(**data)
+        check_data(data)
+        self._g._update_each(self.kind, {self._i: data})
 
     def remove(self) -> None:
-        self._lift().remove()
+        self._g._remove(self.kind, self._g.spark.createDataFrame([(self._i,)], "id long"))
 
     def __eq__(self, other: object) -> bool:
-        return type(self) is type(other) and self._i == other._i and self._s.graph is other._s.graph
+        return type(self) is type(other) and self._i == other._i and self._g is other._g
 
     def __hash__(self) -> int:
         return hash((self.kind, self._i))
 
     def __repr__(self) -> str:
-        return f"<{type(self).__name__} id:{self._i}>"
+        return f"<{type(self).__name__} id:{self._i} data:{self.data()}>"
 
     def aka(self, alias: str) -> Traversal:
         return self._lift().aka(alias)
 
-    def random(self, method: str, *args: object, seed: int = 0, **filters: object):
+    def random(self, method: str, *args: object, seed: int | None = None, **filters: object):
         """One neighbour or edge; None where the filters refuse it. IndexError at a dead end."""
         from .. import errors
 
         if method not in (("inV", "outV", "bothV") if self.kind == "e" else ("inV", "outV", "bothV", "inE", "outE", "bothE")):
             raise errors.UnknownMethod(method)
-        if not self._lift().random(method, seed=seed).ids():
+        now = self._now()
+        kind = "e" if method.endswith("E") else "v"
+        now.check(kind, filters)
+        drawn = self._lift().random(method, seed=seed).ids()
+        if not drawn:
             raise IndexError("a dead end")
-        found = self._lift().random(method, seed=seed, **filters).all()
-        return found[0] if found else None
+        if filters and now.scan(kind, {"_id": drawn[0]}).filter(**filters).count() == 0:
+            return None
+        return now.entity(kind, drawn[0])
 
 
 def _lifted(name: str):

@@ -8,6 +8,7 @@ paths) with the smallest ordinal, so that counts and sums don't enumerate paths.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 
 from .. import errors
 from ..functions import ordering, variant
+from ..functions.validate import column_of, field_of
+from ..storage import durable
 
 if TYPE_CHECKING:
     from ..graph import Snapshot
@@ -193,8 +196,13 @@ class Traversal:
     def both_(self, *args: int, **filters: object) -> Traversal:
         return self._along("both", args, filters)
 
-    def random(self, method: str, *_: object, seed: int = 0, **filters: object) -> Traversal:
-        """One neighbour or incident edge for each row, drawn before the filters apply; rows without any vanish."""
+    def random(self, method: str, *_: object, seed: int | None = None, **filters: object) -> Traversal:
+        """One neighbour or incident edge for each row, drawn before the filters apply; rows without any vanish.
+
+        Each row draws for itself, by a hash of its ordinal, the edge and the seed, so a task that runs again draws the
+        same. Without a seed every call makes its own.
+        """
+        seed = secrets.randbits(62) if seed is None else seed
         if method not in METHODS:
             raise errors.UnknownMethod(method)
         moved = getattr(self._then(_numbered, by_rows=True), method)()
@@ -203,7 +211,7 @@ class Traversal:
 
         def pick(f: Frame) -> Frame:
             last = [F.element_at("_ord", i).cast("string") for i in ((-1,) if not method.startswith("both") else (-2, -1) if self.kind == "e" else (-2,))]
-            drawn = F.md5(F.concat_ws(":", *last, F.lit(str(seed))))
+            drawn = F.md5(F.concat_ws(":", *last, F.array_join(F.col("_row").cast("array<string>"), ":"), F.lit(str(seed))))
             rest = F.struct("_id", "_ord", *(c for c in f.carried() if c != "_row"))
             df = f.df.groupBy("_row").agg(F.min_by(rest, F.struct(drawn, "_ord")).alias("r")).select("r.*")
             return Frame(_only(df, self._s, kind, filters), kind, f.bag)
@@ -247,7 +255,7 @@ class Traversal:
 
     def order_by(self, *clauses: str) -> Traversal:
         """Stable sort on own fields; nulls are smallest. Later ordinals grow along a range-partitioned sort."""
-        parsed = [ordering.parse(c) for c in clauses]
+        parsed = [(column_of(n), up) for n, up in map(ordering.parse, clauses)]
         kind = self.kind
 
         def run(f: Frame) -> Frame:
@@ -298,9 +306,9 @@ class Traversal:
     def data_frame(self, *fields: str) -> DataFrame:
         """_id, _ord and the fields (all of them by default) of each row's entity."""
         have = self._s.of(self.kind)
-        own = [c for c in have.columns if c not in self._s.reserved(self.kind)]
+        own = {field_of(c): c for c in have.columns if c not in self._s.reserved(self.kind)}
         df = self.frame().select("_id", "_ord")
-        props = have.select(F.col("id").alias("_k"), *(F.col(c) if c in own else F.lit(None).cast("string").alias(c) for c in fields or own))
+        props = have.select(F.col("id").alias("_k"), *((F.col(own[f]) if f in own else F.lit(None).cast("string")).alias(f) for f in fields or own))
         return df.join(props, df["_id"] == props["_k"]).drop("_k")
 
     def idata(self, *fields: str, flat: bool = False) -> Iterator:
@@ -322,10 +330,8 @@ class Traversal:
         rows = self.collect_frame(*aliases).orderBy("_ord").collect()
         return [[None if r[a] is None else self._s.entity(self._aliases[a], r[a]) for a in aliases] for r in rows]
 
-    def contexts(self) -> Iterator[dict]:
-        names = list(self._aliases)
-        for r in self.collect_frame(*names).orderBy("_ord").toLocalIterator():
-            yield {a: self._s.entity(self._aliases[a], r[a]) for a in names}
+    def contexts(self) -> Contexts:
+        return Contexts(self)
 
     def sum(self, expr: str | None = None, asc: bool = False):
         from .aggregate import EntityAggregate
@@ -364,11 +370,15 @@ class Traversal:
 
     # ------------------------------------------------------------------ effects
 
+    def _own_ids(self) -> DataFrame:
+        """Checkpointed: a change joins the frames with ids that come from them, and would double its plan otherwise."""
+        return durable(self.counts().select(F.col("_id").alias("id")))
+
     def update(self, **data: object) -> None:
-        self._s.graph._update(self.kind, self.counts().select(F.col("_id").alias("id")), data)
+        self._s.graph._update(self.kind, self._own_ids(), data)
 
     def remove(self) -> None:
-        self._s.graph._remove(self.kind, self.counts().select(F.col("_id").alias("id")))
+        self._s.graph._remove(self.kind, self._own_ids())
 
     def request(self, name: str, *aliases: str, **params: object):
         return self._s.graph.script(name)(self._s.graph, self.contexts(), *aliases, **params)
@@ -382,6 +392,24 @@ class Traversal:
         return Dot(self, node_label, edge_label, limit)
 
 
+class Contexts:
+    """What a script sees of a traversal: its rows' aliases, as a frame, or one dict of entities after the other."""
+
+    def __init__(self, t: Traversal):
+        self._t, self.kinds = t, dict(t._aliases)
+
+    def frame(self, *aliases: str) -> DataFrame:
+        """_ord and the ids of the aliases (all by default)."""
+        return self._t.collect_frame(*(aliases or self.kinds))
+
+    def count(self) -> int:
+        return self._t.count()
+
+    def __iter__(self) -> Iterator[dict]:
+        for r in self.frame().orderBy("_ord").toLocalIterator():
+            yield {a: self._t._s.entity(kind, r[a]) for a, kind in self.kinds.items()}
+
+
 def _numbered(f: Frame) -> Frame:
     """Each row's own ordinal, as the key to draw by."""
     return replace(f, df=f.df.withColumn("_row", F.col("_ord")))

@@ -7,6 +7,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.validate import column_of
 from ..functions.variant import data_of
 
 if TYPE_CHECKING:
@@ -37,7 +38,8 @@ class Dot:
             nodes = s.nodes.join(ends, F.col("id") == F.col("_k"), "left_semi")
 
         def label(df: DataFrame, field: str | None, default):
-            own = F.regexp_replace(F.col(field).cast("string"), _KEEP, "") if field in df.columns else F.lit(None).cast("string")
+            column = column_of(field) if field else None
+            own = F.regexp_replace(F.col(column).cast("string"), _KEEP, "") if column in df.columns else F.lit(None).cast("string")
             return F.coalesce(own, default).alias("label")
 
         return nodes.select("id", label(nodes, self._node, F.col("id").cast("string"))), edges.select("id", "src", "dst", label(edges, self._edge, F.lit("")))

@@ -53,23 +53,37 @@ def _file(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_text(spark: SparkSession, path: str, pieces: Iterable[str]) -> None:
-    """One file from pieces that are never all in memory."""
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, the youngest first."""
+    at, system = _file(spark, path)
+    if not system.exists(at):
+        return []
+    found = sorted(((f.getModificationTime(), f.getPath().getName()) for f in system.listStatus(at)), reverse=True)
+    return [name for _, name in found]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, system = _file(spark, path)
+    system.delete(at, True)
+
+
+def joined_text(spark: SparkSession, path: str, pieces: Iterable[str | tuple[str]]) -> None:
+    """One file of text pieces and, for each (folder,), the files that Spark wrote there, in their order; those go."""
+    jvm = spark.sparkContext._jvm
     at, system = _file(spark, path)
     out = system.create(at, True)
     try:
-        block: list[str] = []
-        size = 0
         for p in pieces:
-            block.append(p)
-            size += len(p)
-            if size >= _BLOCK:
-                out.write(bytearray("".join(block).encode()))
-                block, size = [], 0
-        out.write(bytearray("".join(block).encode()))
+            if isinstance(p, str):
+                out.write(bytearray(p.encode()))
+                continue
+            for name in sorted(n for n in listed(spark, p[0]) if n.startswith("part-")):
+                part, store = _file(spark, f"{p[0]}/{name}")
+                source = store.open(part)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, _BLOCK, False)
+                finally:
+                    source.close()
+            delete(spark, p[0])
     finally:
         out.close()
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.validate import column_of
 from ..graph import PropertyGraph
 
 
@@ -12,7 +13,7 @@ def enriched(stream: DataFrame, graph: PropertyGraph, *fields: str) -> DataFrame
     """Each streamed edge (src, dst) with fields of its two nodes, as ``src_f`` and ``dst_f``. Stream-static joins keep no state."""
     out = stream
     for end in ("src", "dst"):
-        props = graph.nodes.select(F.col("id").alias(end), *(F.col(f).alias(f"{end}_{f}") for f in fields))
+        props = graph.nodes.select(F.col("id").alias(end), *(F.col(column_of(f)).alias(f"{end}_{f}") for f in fields))
         out = out.join(props, end)
     return out
 
