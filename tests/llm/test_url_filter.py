@@ -20,11 +20,25 @@ def test_index_misses_no_match(text):
     assert index.match(text) == want
 
 
-def test_rarest_token_files_a_pattern():
-    index = url_filter.PatternIndex([r"/ads/", r"/ads/casino/", r"/ads/casino/poker/", r"[0-9]+"])
+def test_rarest_token_files_a_pattern(spark):
+    patterns = [r"/ads/", r"/ads/casino/", r"/ads?/casino/poker/", r"[0-9]+"]
+    pages = spark.createDataFrame([("http://x/ADS/ads/",), ("http://x/ads/poker/",), ("http://x/casino/casinos/ad",), ("y/ads",), (None,)], "url string")
+    seen = url_filter.token_counts(pages, patterns)
+    assert seen == {"ads": 3, "poker": 1, "casino": 1, "ad": 1}
+    index = url_filter.PatternIndex(patterns, seen)
     assert index.always == [3]
-    assert index.by_token == {"ads": [0], "casino": [1], "poker": [2]}
+    assert index.by_token == {"ads": {0}, "casino": {1, 2}}
     assert index.candidates("http://x/ads/") == [0, 3]
+    assert url_filter.PatternIndex(patterns, {"casino": 9, "poker": 9, "ads": 99}).by_token == {"ads": {0}, "casino": {1, 2}, "ad": {2}}
+
+
+def test_ordinary_patterns_never_always_run():
+    assert url_filter.PatternIndex(url_filter.PATTERNS).always == []
+
+
+def test_equally_long_rules():
+    rules = (("b.org", "/x", "block"), ("org", "/x/a", "allow"), ("b.org", "/x", "allow"))
+    assert url_filter.HostRules(rules).match("b.org", "/x/a") == ("b.org/x", "allow")
 
 
 def test_query_against_sql(spark, sf_dir, same_rows):

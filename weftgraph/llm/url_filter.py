@@ -1,12 +1,13 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A pattern is a regular expression over the lower-cased (A-Z) url. From its parse tree come the literal
-tokens (letters and digits) that every match must hold as a whole token of the url; the pattern is filed
-under the one that the fewest patterns hold. A url's own tokens fetch candidate patterns, and only those
-run. Patterns without such a token are few and always run, so none is missed.
+A pattern is a regular expression over the lower-cased (A-Z) url. Its text is read into branches (alternatives and
+optional characters), and each branch into the literal tokens (runs of letters, runs of digits) that every match must
+hold as a whole token of the url. Each branch is filed under the token that the fewest urls of the table hold. A url's own
+tokens fetch candidate patterns, and only those run. A pattern that isn't understood, or has a branch without a
+token, always runs, so none is missed.
 
 Host rules (host, path, verdict) come first: a rule fits its host and all subdomains when the url's path
-starts with the rule's path, and the longest rule (host and path together) wins. A url that no host
+starts with the rule's path, and the longest rule (host and path together) wins, of equally long ones the first by text. A url that no host
 rule fits is blocked if a pattern matches it, else allowed.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: from there up to
@@ -19,10 +20,8 @@ texts of any length are handled whole; repeated rows are judged alike; extra col
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
-from re import _constants as sre
-from re import _parser as parser
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,74 +34,163 @@ PATTERNS = (
     r"[?&]utm_source=", r"/ads?/", r"\bdoubleclick\.net\b", r"/banner[0-9]*/", r"^https?://ads?\.", r"\bcasino\b", r"/login(/|\?|#|$)",
     r"[?&]sessionid=[0-9a-f]+", r"/wp-admin/", r"\.exe(\?|#|$)", r"/cgi-bin/", r"^http://m\.[^/]*/[a-z]{2}/[0-9]*7(/|\?|#|$)", r"/amp/[0-9]+", r"\btracker\.",
 )
-_TOKEN = re.compile(r"[a-z0-9]+")
-
-
-def literal_tokens(pattern: str) -> set[str]:
-    """Tokens that each url which the pattern matches holds, with no letter or digit beside them."""
-    found: set[str] = set()
-    run, open_left = "", True  # open_left: a letter or digit could stand before the run
-
-    def end(closed: bool) -> None:
-        nonlocal run, open_left
-        if run and closed and not open_left:
-            found.add(run)
-        run, open_left = "", not closed
-
-    for op, arg in parser.parse(pattern, re.ASCII):
-        if op is sre.LITERAL and _TOKEN.fullmatch(c := chr(arg)):
-            run += c
-        elif op is sre.LITERAL:
-            end(True)
-        elif op is sre.AT and arg in (sre.AT_BEGINNING, sre.AT_END, sre.AT_BEGINNING_STRING, sre.AT_END_STRING):
-            end(True)
-        elif op is sre.AT and arg is sre.AT_BOUNDARY:
-            end(bool(run) or open_left)  # beside a letter or digit of ours it shuts off others, _ apart
-        elif op is sre.IN and all(o is sre.LITERAL and not _TOKEN.fullmatch(chr(a)) for o, a in arg):
-            end(True)
-        elif op is sre.SUBPATTERN and all(_shut(branch) for branch in _branches(arg[-1])):
-            end(True)
+_TOKEN = re.compile(r"[a-z]+|[0-9]+")
+_LETTERS, _DIGITS = frozenset("abcdefghijklmnopqrstuvwxyz"), frozenset("0123456789")
+_BRANCHES, _CLASSES = 16, {"d": _DIGITS, "w": _LETTERS | _DIGITS | {"_"}, "s": frozenset(" \t\n\r\f\v")}
+_PART = re.compile(r"""(?P<atom>\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((?:\?:)?|[|)^$.]|[^\\\[()|^$.?*+{])(?P<times>[?*+]|\{\d*,?\d*\})?\??""", re.S)
+
+
+@dataclass(frozen=True)
+class Atom:
+    """One place of a pattern: a literal character, an edge that no letter or digit lies beyond, or anything else with
+    the characters that it can be; ``empty``: it may be absent."""
+
+    literal: str | None = None
+    edge: bool = False
+    chars: frozenset[str] | None = None  # None: any
+    empty: bool = False
+
+
+def _class(text: str) -> frozenset[str] | None:
+    """The letters and digits of a character class, among others; None where it may hold any."""
+    if text.startswith("[^"):
+        return None
+    out, body, i = set(), text[1:-1], 0
+    while i < len(body):
+        if body[i] == "\\":
+            if body[i + 1] in "DWS":
+                return None
+            out |= _CLASSES.get(body[i + 1], frozenset(body[i + 1]))
+            i += 2
+        elif body[i + 1 : i + 2] == "-" and i + 2 < len(body):
+            out |= {chr(c) for c in range(ord(body[i]), ord(body[i + 2]) + 1)}
+            i += 3
         else:
-            end(False)
-    end(False)
-    return found
-
+            out.add(body[i])
+            i += 1
+    return frozenset(out)
+
+
+def branches(pattern: str) -> list[list[Atom]] | None:
+    """The sequences of atoms that a pattern stands for: optional literals and alternatives multiply them. None where the
+    pattern isn't understood in full or has more than ``_BRANCHES``."""
+
+    def sequence(at: int) -> tuple[list[list[Atom]], int]:
+        """All alternatives from ``at`` to the end of the group."""
+        done: list[list[Atom]] = []
+        now: list[list[Atom]] = [[]]
+        while at < len(pattern):
+            m = _PART.match(pattern, at)
+            if not m:
+                raise ValueError(pattern)
+            atom, times, at = m["atom"], m["times"], m.end()
+            if atom in ("|", ")"):
+                done += now
+                now = [[]]
+                if atom == ")":
+                    return done, m.start() + 1
+                continue
+            if atom[0] == "(":
+                if atom == "(" and pattern[at : at + 1] == "?":
+                    raise ValueError(pattern)
+                inner, at = sequence(m.end("atom"))
+                t = re.compile(r"[?*+]|\{\d*,?\d*\}").match(pattern, at)
+                at = t.end() + (pattern[t.end() : t.end() + 1] == "?") if t else at
+                options = inner if not t else [*inner, []] if t[0] == "?" else [[Atom(empty=t[0] != "+")]]
+            else:
+                options = _options(atom, times)
+            now = [a + b for a in now for b in options]
+            if len(now) + len(done) > _BRANCHES:
+                raise ValueError(pattern)
+        return done + now, at
+
+    try:
+        return sequence(0)[0]
+    except (ValueError, RecursionError):
+        return None
+
+
+def _options(atom: str, times: str | None) -> list[list[Atom]]:
+    if atom in "^$":
+        return [[Atom(edge=True)]]
+    if atom == "\\b":
+        return [[Atom(edge=True)]]
+    if atom[0] == "\\" and atom[1].isalnum():
+        if atom[1] not in "dws":
+            raise ValueError(atom)
+        one = Atom(chars=_CLASSES[atom[1]])
+    elif atom[0] == "[":
+        one = Atom(chars=_class(atom))
+    elif atom == ".":
+        one = Atom()
+    else:
+        one = Atom(literal=atom[-1])
+    if times is None:
+        return [[one]]
+    if times == "?":
+        return [[one], []] if one.literal else [[Atom(chars=one.chars, empty=True)]]
+    chars = frozenset(one.literal) if one.literal else one.chars
+    return [[Atom(chars=chars, empty=times[0] == "*" or times[0] == "{")]]
+
+
+def literal_tokens(atoms: Sequence[Atom]) -> set[str]:
+    """Runs of letters, or of digits, that each url which the branch matches holds with none of their kind beside them."""
+
+    def shut(i: int, step: int, kind: frozenset[str]) -> bool:
+        """Whether what lies from atom ``i`` on can't begin with a character of the kind."""
+        while 0 <= i < len(atoms):
+            a = atoms[i]
+            if a.edge:
+                return True
+            if a.literal is not None:
+                return a.literal not in kind
+            if a.chars is None or a.chars & kind:
+                return False
+            if not a.empty:
+                return True
+            i += step
+        return False
 
-def _branches(tree) -> list:
-    if len(tree) == 1 and tree[0][0] is sre.BRANCH:
-        return [b for branch in tree[0][1][1] for b in [branch]]
-    return [tree]
+    found, i = set(), 0
+    while i < len(atoms):
+        kind = next((k for k in (_LETTERS, _DIGITS) if atoms[i].literal and atoms[i].literal in k), None)
+        j = i + 1
+        if kind:
+            while j < len(atoms) and atoms[j].literal and atoms[j].literal in kind:
+                j += 1
+            if shut(i - 1, -1, kind) and shut(j, 1, kind):
+                found.add("".join(a.literal for a in atoms[i:j]))
+        i = j
+    return found
 
 
-def _shut(branch) -> bool:
-    """Whether the branch is one character that is no letter or digit, or the url's end."""
-    if len(branch) != 1:
-        return False
-    op, arg = branch[0]
-    if op is sre.IN:
-        return all((o is sre.LITERAL and not _TOKEN.fullmatch(chr(a))) or o is sre.AT for o, a in arg)
-    return (op is sre.LITERAL and not _TOKEN.fullmatch(chr(arg))) or (op is sre.AT and arg in (sre.AT_END, sre.AT_END_STRING))
+def needed_tokens(pattern: str) -> list[set[str]]:
+    """The tokens of each branch; a url that the pattern matches holds all tokens of one of them. None: no such promise."""
+    found = [literal_tokens(b) for b in branches(pattern) or [[]]]
+    return found if all(found) else []
 
 
 class PatternIndex:
-    def __init__(self, patterns: Sequence[str]):
-        tokens = [literal_tokens(p) for p in patterns]
-        seen = Counter(t for own in tokens for t in own)
+    """``seen``: how many urls hold a token; each branch of a pattern is filed under its rarest."""
+
+    def __init__(self, patterns: Sequence[str], seen: Mapping[str, int] | None = None):
+        seen = seen or {}
         self.compiled = [re.compile(p, re.ASCII) for p in patterns]
-        self.by_token: dict[str, list[int]] = {}
+        self.by_token: dict[str, set[int]] = {}
         self.always: list[int] = []
-        for i, own in enumerate(tokens):
-            if own:
-                self.by_token.setdefault(min(own, key=lambda t: (seen[t], -len(t), t)), []).append(i)
-            else:
+        for i, p in enumerate(patterns):
+            needed = needed_tokens(p)
+            for own in needed:
+                self.by_token.setdefault(min(own, key=lambda t: (seen.get(t, 0), -len(t), t)), set()).add(i)
+            if not needed:
                 self.always.append(i)
 
     def candidates(self, url: str) -> list[int]:
-        return [i for t in set(_TOKEN.findall(url)) for i in self.by_token.get(t, ())] + self.always
+        return sorted({i for t in set(_TOKEN.findall(url)) for i in self.by_token.get(t, ())} | set(self.always))
 
     def match(self, url: str) -> int | None:
         """The first of the patterns that match, by their order."""
-        return next((i for i in sorted(self.candidates(url)) if self.compiled[i].search(url)), None)
+        return next((i for i in self.candidates(url) if self.compiled[i].search(url)), None)
 
 
 class HostRules:
@@ -117,8 +205,9 @@ class HostRules:
         best, rest = None, host
         while rest:
             for start, verdict in self.by_host.get(rest, ()):
-                if path.startswith(start) and (best is None or len(rest) + len(start) > len(best[0])):
-                    best = (rest + start, verdict)
+                own = (rest + start, verdict)
+                if path.startswith(start) and (best is None or (-len(own[0]), own) < (-len(best[0]), best)):
+                    best = own
             rest = rest.partition(".")[2]
         return best
 
@@ -126,9 +215,17 @@ class HostRules:
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def _judge(rules: Sequence[tuple[str, str, str]], patterns: Sequence[str]):
+def token_counts(pages: DataFrame, patterns: Sequence[str]) -> dict[str, int]:
+    """How many urls hold each token of the patterns; a row for each of those tokens at most comes to the driver."""
+    wanted = sorted({t for p in patterns for own in needed_tokens(p) for t in own})
+    low = F.translate(F.coalesce(F.col("url").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = F.array_intersect(F.regexp_extract_all(low, F.lit(_TOKEN.pattern), F.lit(0)), F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>"))
+    return {r["t"]: r["n"] for r in pages.select(F.explode(own).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _judge(rules: Sequence[tuple[str, str, str]], patterns: Sequence[str], seen: Mapping[str, int]):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hosts, index = HostRules(rules), PatternIndex(patterns)
+        hosts, index = HostRules(rules), PatternIndex(patterns, seen)
         for b in batches:
             rule, verdict, pattern = [], [], []
             for url, host, path in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -151,12 +248,12 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = HOST_RULES,
     path = F.regexp_extract(after, r"(?s)^[^/?#]*(/[^?#]*)", 1)
     slim = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     kind = slim.schema["page_id"].dataType.simpleString()
-    return slim.mapInArrow(_judge(tuple(rules), tuple(patterns)), f"page_id {kind}, host string, path string, rule string, verdict string, pattern string")
+    return slim.mapInArrow(_judge(tuple(rules), tuple(patterns), token_counts(pages, patterns)), f"page_id {kind}, host string, path string, rule string, verdict string, pattern string")
 
 
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    order = sorted(HOST_RULES, key=lambda r: -len(r[0] + r[1]))
+    order = sorted(HOST_RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1], r[2]))
     fits = [f"WHEN (host = {quote(h)} OR ends_with(host, {quote('.' + h)})) AND starts_with(path, {quote(p)}) THEN" for h, p, _ in order]
     rule = " ".join(f"{f} {quote(h + p)}" for f, (h, p, _) in zip(fits, order, strict=True))
     verdict = " ".join(f"{f} {quote(v)}" for f, (_, _, v) in zip(fits, order, strict=True))
