@@ -41,7 +41,7 @@ def test_random_texts(theirs, ours):
         assert ours.encode(text) == theirs.encode(text, disallowed_special=())
 
 
-def test_matrix_and_heap_agree(ours, monkeypatch):
+def test_matrix_and_rows_agree(ours, monkeypatch):
     rng = random.Random(6)
     pieces = [bytes(rng.choice(b"abcdest ing\xc3\xa9") for _ in range(rng.randrange(1, 200))) for _ in range(300)]
     by_matrix = ours.encode_pieces(pieces)
@@ -49,6 +49,26 @@ def test_matrix_and_heap_agree(ours, monkeypatch):
     assert ours.encode_pieces(pieces) == by_matrix
 
 
+def test_long_pieces(theirs, ours):
+    """Pieces far beyond the matrix width, also with runs that overlap themselves."""
+    rng = random.Random(16)
+    for alphabet in ("ab", "aab", "abcdefghijklmnopqrstuvwxyz", "théing"):
+        for n in (257, 1000, 30_000):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            assert ours.encode(text) == theirs.encode(text, disallowed_special=())
+    for text in ("a" * 50_000, "ab" * 20_000, "=" * 9_999):
+        assert ours.encode(text) == theirs.encode(text, disallowed_special=())
+
+
+def test_what_is_remembered_is_bounded(ours, monkeypatch):
+    monkeypatch.setattr(bpe, "_REMEMBERED", 5_000)
+    known, rng = bpe._Pieces(), random.Random(17)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(40)) for _ in range(2)]
+        assert [ids.tolist() for ids in bpe._ids_of(ours, known, texts)] == [ours.encode(t) for t in texts]
+        assert known.size <= 5_000 + 2 * 40 * (bpe._ENTRY + 10 + 4 * 10)
+
+
 def test_pair_table():
     rng = np.random.default_rng(7)
     keys = np.unique(rng.integers(0, 40, (600, 2)), axis=0)

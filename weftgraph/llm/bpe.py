@@ -3,9 +3,11 @@
 Distinct pieces are sorted by length into buckets and become rows of a padded matrix of ids. Each
 round, every row merges its leftmost pair of minimum rank; pair ranks come from an open-addressing
 hash table held in numpy arrays; merged cells are squeezed out and finished rows leave the matrix.
-A piece that is a vocabulary entry as a whole is that token at once. Pieces longer than
-``MATRIX_WIDTH`` bytes (one round per merge would cost their length squared) take the same merges in
-the same order from a heap.
+A piece that is a vocabulary entry as a whole is that token at once. A piece longer than
+``MATRIX_WIDTH`` bytes is a row of its own, without padding; as one round for each merge would cost its length
+squared, a round makes all merges of the minimum rank that come before any pair of lower rank.
+
+What a worker remembers of pieces is bounded in bytes (``_REMEMBERED``), not only in number.
 
 Defined cases: a null text is the empty text: no ids, empty bytes; pieces of any length are encoded
 whole; documents repeat freely; columns other than the text pass through or are ignored.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from .common import ship
 MATRIX_WIDTH, CELLS = 256, 1 << 19
 NONE = np.int32(2**31 - 1)
 _EMPTY, _MULT = np.uint64(2**64 - 1), np.uint64(0x9E3779B97F4A7C15)
-_PIECES_LIMIT = 300_000
+_REMEMBERED, _ENTRY = 24 << 20, 200  # bytes of remembered pieces; of an entry besides its text and ids
 
 
 class PairTable:
@@ -77,8 +79,9 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {i: t for t, i in ranks.items()}
+        self.name = {i: b"%d" % i for i in self.token}
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
-        left, right, rank = [], [], []
+        left, right, rank = (array("i") for _ in range(3))
         for token, r in ranks.items():
             for i in range(1, len(token)):
                 x, y = ranks.get(token[:i]), ranks.get(token[i:])
@@ -86,7 +89,7 @@ class ByteBPE:
                     left.append(x)
                     right.append(y)
                     rank.append(r)
-        self.pairs = PairTable(*(np.array(v, np.int64) for v in (left, right, rank)))
+        self.pairs = PairTable(*(np.frombuffer(v, np.int32) if v else np.empty(0, np.int32) for v in (left, right, rank)))
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBPE:
@@ -100,7 +103,7 @@ class ByteBPE:
             if p in self.ranks:
                 out[i] = [self.ranks[p]]
             elif len(p) > MATRIX_WIDTH:
-                out[i] = self._by_heap(p)
+                out[i] = self._by_row(p)
             elif p:
                 buckets.setdefault(max(4, 1 << (len(p) - 1).bit_length()), []).append(i)
         for width, at in buckets.items():
@@ -142,34 +145,37 @@ class ByteBPE:
                 ok = np.nonzero((col >= 0) & (col < last))[0]
                 ranks[ok, col[ok]] = self.pairs.get(cells[ok, col[ok]], cells[ok, col[ok] + 1])
 
-    def _by_heap(self, piece: bytes) -> list[int]:
+    def _by_row(self, piece: bytes) -> list[int]:
+        """The same merges for a row of its own: a round takes the minimum rank's places from the left on, as long as no
+        merge makes a pair of lower rank, which would come next. So rounds number about the distinct ranks of a
+        piece, not its length."""
         ids = self.byte[np.frombuffer(piece, np.uint8)]
-        first = self.pairs.get(ids[:-1], ids[1:])
-        heap = [(int(r), int(i)) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        cur, n = ids.tolist(), len(ids)
-        nxt, prev, live = list(range(1, n + 1)), list(range(-1, n - 1)), first.tolist()
-        token, ranks, none = self.token, self.ranks, int(NONE)
-
-        def rank(i: int) -> None:
-            j = nxt[i]
-            live[i] = ranks.get(token[cur[i]] + token[cur[j]], none) if j < n else none
-            if live[i] != none:
-                heapq.heappush(heap, (live[i], i))
-
-        live.append(none)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if live[i] != r:
-                continue
-            j = nxt[i]
-            cur[i], nxt[i], live[j], cur[j] = r, nxt[j], none, -1
-            if nxt[i] < n:
-                prev[nxt[i]] = i
-            rank(i)
-            if prev[i] >= 0:
-                rank(prev[i])
-        return [c for c in cur if c >= 0]
+        ranks = self.pairs.get(ids[:-1], ids[1:])  # of the pair that begins in a cell
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.nonzero(ranks == best)[0]
+            if len(at) > 1 and (np.diff(at) == 1).any():  # places that overlap ("aaa"): in each run every other one, from its first on
+                run = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])
+                start = at[np.searchsorted(run, run)]
+                at = at[(at - start) % 2 == 0]
+            # the pairs that each merge makes at its moment: with a merge just to the left, but not yet one to the right
+            left = np.where(at > 0, ids[at - 1], -1)
+            touching = np.nonzero(np.diff(at) == 2)[0] + 1
+            left[touching] = best
+            right = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+            new = np.full(len(at), best, np.int32)
+            lower = np.minimum(self.pairs.get(left, new), self.pairs.get(new, right)) < best
+            if lower.any():
+                at = at[: int(lower.argmax()) + 1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids[at] = best
+            moved = np.cumsum(keep) - 1
+            ranks = np.append(ranks, NONE)[keep][:-1]
+            ids, at = ids[keep], moved[at]
+            for col in (at - 1, at):
+                ok = col[(col >= 0) & (col < len(ranks))]
+                ranks[ok] = self.pairs.get(ids[ok], ids[ok + 1])
+        return ids.tolist()
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
@@ -178,8 +184,12 @@ class ByteBPE:
         found = self.encode_pieces([p.encode() for p in self.split(text or "")])
         return [i for ids in found for i in ids]
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+    def decode(self, ids: Iterable[int] | np.ndarray) -> bytes:
+        return b"".join(map(self.token.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+
+    def ids_digest(self, ids: np.ndarray) -> str:
+        """SHA-256 of the decimal ids with a space between."""
+        return hashlib.sha256(b" ".join(map(self.name.__getitem__, ids.tolist()))).hexdigest()
 
 
 _LOADED: dict[tuple[str, str], ByteBPE] = {}
@@ -191,16 +201,31 @@ def _model(path: str, pattern: str) -> ByteBPE:
     return _LOADED[path, pattern]
 
 
-def _ids_of(model: ByteBPE, known: dict[str, object], texts: list[str], shape) -> Iterator[list]:
-    """What ``shape`` makes of the ids of each piece, text by text; new pieces are encoded together."""
-    if len(known) > _PIECES_LIMIT:
-        known.clear()
+class _Pieces(dict):
+    """piece -> its ids as int32 bytes, for the pieces seen of late."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.size = 0
+
+    def learn(self, model: ByteBPE, fresh: list[str]) -> None:
+        if self.size > _REMEMBERED:
+            self.clear()
+            self.size = 0
+        raw = [p.encode() for p in fresh]
+        for p, b, ids in zip(fresh, raw, model.encode_pieces(raw), strict=True):
+            self[p] = np.array(ids, np.int32).tobytes()
+            self.size += _ENTRY + len(b) + 4 * len(ids)
+
+
+def _ids_of(model: ByteBPE, known: _Pieces, texts: list[str]) -> Iterator[np.ndarray]:
+    """The ids of each text; new pieces of all texts are encoded together."""
+    if known.size > _REMEMBERED:
+        known.learn(model, [])
     parts = [model.split(t) for t in texts]
-    fresh = list({p for piece in parts for p in piece if p not in known})
-    for p, ids in zip(fresh, model.encode_pieces([p.encode() for p in fresh]), strict=True):
-        known[p] = shape(ids)
+    known.learn(model, list({p for pieces in parts for p in pieces if p not in known}))
     for pieces in parts:
-        yield [known[p] for p in pieces]
+        yield np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
 
 
 def _blocks(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
@@ -218,16 +243,14 @@ def _blocks(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
 
 def _digester(path: str, pattern: str):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = _model(path, pattern), {}
-        shape = lambda ids: (len(ids), " ".join(map(str, ids)), model.decode(ids))
+        model, known = _model(path, pattern), _Pieces()
         for batch in batches:
             n, ids, decoded = [], [], []
             for texts in _blocks(batch.column(1)):
-                for parts in _ids_of(model, known, texts, shape):
-                    count, names, data = zip(*parts, strict=True) if parts else ((), (), ())
-                    n.append(sum(count))
-                    ids.append(hashlib.sha256(" ".join(names).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join(data)).hexdigest())
+                for own in _ids_of(model, known, texts):
+                    n.append(len(own))
+                    ids.append(model.ids_digest(own))
+                    decoded.append(hashlib.sha256(model.decode(own)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digest
@@ -235,11 +258,11 @@ def _digester(path: str, pattern: str):
 
 def _encoder(path: str, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = _model(path, pattern), {}
+        model, known = _model(path, pattern), _Pieces()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                rows = [[i for ids in parts for i in ids] for texts in _blocks(part.column(part.num_columns - 1)) for parts in _ids_of(model, known, texts, list)]
+                rows = [ids for texts in _blocks(part.column(part.num_columns - 1)) for ids in _ids_of(model, known, texts)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, pa.list_(pa.int32()))], names=[*part.schema.names[:-1], "ids"])
 
     return encode
