@@ -69,8 +69,9 @@ def test_defined_cases(odd_docs, no_docs, clashing, as_set):
 
 
 def test_apply_mix_repeats_whole_rows(odd_docs, clashing):
-    docs = clashing(odd_docs.filter("doc_id NOT IN (10)"))
+    docs = clashing(odd_docs.filter("doc_id IS NULL OR doc_id <> 10"))
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}
+    assert None in copies
     out = mixing.apply_mix(docs)
     assert out.columns == docs.columns
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"]}
@@ -80,6 +81,42 @@ def test_apply_mix_repeats_whole_rows(odd_docs, clashing):
     assert all(r["text"] == texts[r["doc_id"]] for r in got)
 
 
+def test_rows_of_one_id_are_one_document_in_the_stage(odd_docs):
+    """Rows that repeat an id are taken equally often, and what is taken comes near the targets."""
+    got = [r["doc_id"] for r in mixing.apply_mix(odd_docs).collect()]
+    assert got.count(10) in (0, 2, 4)
+    rows = mixing.mix(odd_docs).collect()
+    words = sum(len(WORD.findall(r["text"])) for r in mixing.apply_mix(odd_docs).collect())
+    assert abs(words - sum(r["taken"] for r in rows)) <= max(r["size"] for r in rows)
+
+
+def test_rows_without_ids_are_spread(spark):
+    docs = spark.range(400).selectExpr("cast(null AS long) AS doc_id", "concat('w ', id) AS text", "'s' AS source")
+    assert mixing._sized(docs, None, 17).select("key").distinct().count() == 400
+    taken = [r["taken"] for r in mixing.mix(docs).collect()]
+    assert sum(taken) == 1_200
+
+
+def test_any_number_of_sources(spark, monkeypatch):
+    """Beyond the rows that are broadcast, the plan is joined by a shuffle; parts without overlap are solved apart."""
+    docs = spark.range(900).selectExpr("id AS doc_id", "repeat('w ', int(1 + id % 5)) AS text", "concat('s', id % 300) AS source")
+    want = sorted(map(tuple, mixing.mix(docs).select("doc_id", "taken", "target").collect()))
+    stage = sorted(r["doc_id"] for r in mixing.apply_mix(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 10)
+    assert sorted(map(tuple, mixing.mix(docs).select("doc_id", "taken", "target").collect())) == want
+    assert sorted(r["doc_id"] for r in mixing.apply_mix(docs).collect()) == stage
+    assert len(want) == 900
+
+
+def test_parts_are_solved_as_the_whole():
+    capacity, members, quotas = [3, 2, 2, 9, 4, 1], [[0], [0, 1], [1], [2], [3, 4], [4]], [4, 5, 11, 3, 6]
+    whole, apart = mixing.route(capacity, members, quotas), mixing.route_apart(capacity, members, quotas)
+    for flow in (whole, apart):
+        assert [sum(f[m.index(s)] for f, m in zip(flow, members, strict=True) if s in m) for s in range(5)] == quotas
+    cost = lambda flow: sum(max(0, sum(f) - c) for f, c in zip(flow, capacity, strict=True))
+    assert cost(whole) == cost(apart)
+
+
 def test_hot_source_is_cut_into_buckets(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', int(id % 7)) AS text", "if(id % 10 < 8, 'hot', 's' || id % 10) AS source")
     few, many = (sorted(map(tuple, mixing.mix(docs, bucket_rows=n).select("doc_id", "taken").collect())) for n in (10, 10_000))

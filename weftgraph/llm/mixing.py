@@ -16,10 +16,13 @@ Prefix sums over a pattern are taken in two steps (buckets of the seeded order,
 a source that holds a third of all rows is spread over as many tasks as any other.
 
 Defined cases: a null or empty text has size 0 and nothing is taken from it; a null source is a source
-of its own; rows that repeat an id are separate rows, whose order among themselves follows their size;
-an empty table gives an empty result; extra columns pass through ``apply_mix`` unchanged. More than
-``MAX_PATTERNS`` patterns raise ValueError: patterns are combinations of sources, so such an input has
-no usable source column.
+of its own; rows that repeat an id are separate rows, whose order among themselves follows their size; a row
+without an id goes by the md5 of its text; an empty table gives an empty result; extra columns pass through
+``apply_mix`` unchanged.
+
+The driver holds a row for each pattern. Patterns that share no source, not even through others, are solved apart,
+so any number of sources without overlaps costs no more than a step each; the result is broadcast only while it has
+``BROADCAST_ROWS`` rows at most and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ship
 
-WEIGHTS, FACTOR, MAX_EPOCHS, SEED, MAX_PATTERNS = (3, 1, 2), 1.5, 2, 17, 100_000
+WEIGHTS, FACTOR, MAX_EPOCHS, SEED, BROADCAST_ROWS = (3, 1, 2), 1.5, 2, 17, 10_000
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -116,12 +119,40 @@ def route(capacity: Sequence[int], members: Sequence[Sequence[int]], quotas: Seq
             cap[a ^ 1] += push
 
 
+def route_apart(capacity: Sequence[int], members: Sequence[Sequence[int]], quotas: Sequence[int], epochs: int = MAX_EPOCHS) -> list[list[int]]:
+    """``route`` for each connected part of the network by itself."""
+    parent = list(range(len(quotas)))
+
+    def top(s: int) -> int:
+        while parent[s] != s:
+            parent[s] = s = parent[parent[s]]
+        return s
+
+    for own in members:
+        for s in own[1:]:
+            parent[top(s)] = top(own[0])
+    parts: dict[int, list[int]] = {}
+    for p, own in enumerate(members):
+        if own:
+            parts.setdefault(top(own[0]), []).append(p)
+    out: list[list[int]] = [[] for _ in members]
+    for own in parts.values():
+        if len(own) == 1 and len(members[own[0]]) == 1:
+            out[own[0]] = [min(quotas[members[own[0]][0]], epochs * capacity[own[0]])]
+            continue
+        at = {s: i for i, s in enumerate(sorted({s for p in own for s in members[p]}))}
+        flows = route([capacity[p] for p in own], [[at[s] for s in members[p]] for p in own], [quotas[s] for s in at], epochs)
+        for p, f in zip(own, flows, strict=True):
+            out[p] = f
+    return out
+
+
 def _sized(docs: DataFrame, membership: Column | None, seed: int) -> DataFrame:
     """doc_id, members, size, pattern, key (of the seeded order) of each row, without its text."""
     members = F.array("source") if membership is None else F.array_sort(F.array_distinct(membership))
-    slim = docs.select("doc_id", members.alias("members"), F.col("text").cast("string").alias("text"))
-    sized = slim.mapInArrow(_sizes, f"doc_id {slim.schema[0].dataType.simpleString()}, members {slim.schema[1].dataType.simpleString()}, size long")
-    return materialize(sized.withColumn("pattern", _pattern("members")).withColumn("key", _key(seed)), "mix-sized")
+    slim = docs.select("doc_id", members.alias("members"), _key(seed).alias("key"), F.col("text").cast("string").alias("text"))
+    sized = slim.mapInArrow(_sizes, f"doc_id {slim.schema[0].dataType.simpleString()}, members {slim.schema[1].dataType.simpleString()}, key string, size long")
+    return materialize(sized.withColumn("pattern", _pattern("members")), "mix-sized")
 
 
 def _pattern(members: str | Column) -> Column:
@@ -129,16 +160,14 @@ def _pattern(members: str | Column) -> Column:
 
 
 def _key(seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws(":", own, F.lit(str(seed))))
 
 
 def _plan(sized: DataFrame, weights: Sequence[float], factor: float, max_epochs: int) -> tuple[DataFrame, int]:
     """pattern, base (whole passes), extra (words of one more), source_size, target; and the rows of the largest pattern."""
     found = sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"))
-    rows = found.limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    rows.sort(key=lambda r: r["pattern"])
+    rows = sorted(found.collect(), key=lambda r: r["pattern"])
     sources = sorted({s for r in rows for s in r["members"]}, key=lambda s: (s is None, s or ""))
     index = {s: i for i, s in enumerate(sources)}
     members = [[index[s] for s in r["members"]] for r in rows]
@@ -147,12 +176,13 @@ def _plan(sized: DataFrame, weights: Sequence[float], factor: float, max_epochs:
         for i in own:
             sizes[i] += r["words"]
     goal = targets(sizes, weights, factor * sum(r["words"] for r in rows) / max(1, sum(sizes)) if sum(sizes) else factor, max_epochs)
-    flow = route([r["words"] for r in rows], members, [math.floor(t + 0.5) for t in goal], max_epochs)
+    flow = route_apart([r["words"] for r in rows], members, [math.floor(t + 0.5) for t in goal], max_epochs)
     plan = []
     for r, own, f in zip(rows, members, flow, strict=True):
         base, extra = divmod(sum(f), r["words"]) if r["words"] else (0, 0)
         plan.append((r["pattern"], base, extra, sizes[own[0]] if own else 0, goal[own[0]] if own else 0.0))
     made = sized.sparkSession.createDataFrame(plan, "pattern string, base long, extra long, source_size long, target double")
+    made = F.broadcast(made) if len(plan) <= BROADCAST_ROWS else made
     return made, max((r["docs"] for r in rows), default=0)
 
 
@@ -181,7 +211,7 @@ def mix(
     plan, most = _plan(sized, weights, factor, max_epochs)
     cut, buckets = _cut(sized, most, bucket_rows)
     inside = Window.partitionBy("pattern", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = cut.withColumn("upto", F.sum("size").over(inside)).join(buckets, ["pattern", "bucket"]).join(F.broadcast(plan), "pattern")  # MAX_PATTERNS rows at most
+    placed = cut.withColumn("upto", F.sum("size").over(inside)).join(buckets, ["pattern", "bucket"]).join(plan, "pattern")
     part = F.greatest(F.lit(0), F.least("size", F.expr("extra - (before + upto - size)")))
     taken = F.col("base") * F.col("size") + part
     copies = F.when(F.col("size") > 0, F.col("base") + (2 * part >= F.col("size")).cast("long")).otherwise(0)
@@ -201,9 +231,9 @@ def apply_mix(
     sized = _sized(docs, membership, seed)
     plan, most = _plan(sized, weights, factor, max_epochs)
     cut, buckets = _cut(sized, most, bucket_rows)
-    units = cut.repartition("pattern", "bucket").groupBy("pattern", "bucket", "key").agg(F.sum("size").alias("size"))
+    units = cut.groupBy("pattern", "bucket", "key").agg(F.sum("size").alias("size"))
     inside = Window.partitionBy("pattern", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = units.withColumn("upto", F.sum("size").over(inside)).join(buckets, ["pattern", "bucket"]).join(F.broadcast(plan), "pattern")
+    placed = units.withColumn("upto", F.sum("size").over(inside)).join(buckets, ["pattern", "bucket"]).join(plan, "pattern")
     start = F.expr("before + upto - size")
     edge = placed.filter((start <= F.col("extra")) & (F.col("extra") < start + F.col("size")))  # one unit of each pattern
     edge = materialize(edge.select("pattern", "base", F.col("key").alias("last"), (2 * (F.col("extra") - start) >= F.col("size")).alias("within")), "mix-cuts")
@@ -212,13 +242,14 @@ def apply_mix(
     more = (_key(seed) < F.col("__mix_cut.last")) | ((_key(seed) == F.col("__mix_cut.last")) & F.col("__mix_cut.within"))
     held = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     copies = F.when(held, F.col("__mix_cut.base") + more.cast("long")).otherwise(0).cast("int")
-    joined = docs.withColumn("__mix_pattern", _pattern(members)).join(F.broadcast(cuts), "__mix_pattern")  # MAX_PATTERNS rows at most
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts  # a row for each pattern
+    joined = docs.withColumn("__mix_pattern", _pattern(members)).join(cuts, "__mix_pattern")
     many = joined.withColumn("__mix_copies", copies).filter("__mix_copies > 0")
     return many.withColumn("__mix_no", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(concat(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))), ':17')) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT *, CASE i % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM s),
 o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - 2 * (sum(source_size) OVER (ORDER BY source_size / w, i ROWS UNBOUNDED PRECEDING) - source_size) AS remaining,
@@ -227,7 +258,7 @@ c AS (SELECT * FROM o WHERE remaining * w / rest <= 2 * source_size ORDER BY k L
 t AS (SELECT o.source, o.source_size, CASE WHEN o.k >= c.k THEN c.remaining * o.w / c.rest ELSE CAST(2 * o.source_size AS DOUBLE) END AS target FROM o LEFT JOIN c ON true),
 q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
 r AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.quota,
-      sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(concat(coalesce(CAST(d.doc_id AS VARCHAR), ''), ':17')), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
+      sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
       FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN source_size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(size, quota % source_size - before)) END AS BIGINT) AS taken
