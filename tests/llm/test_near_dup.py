@@ -170,3 +170,49 @@ def test_rows_without_an_id_of_their_own(spark, as_set):
     assert as_set(near_dup.deduplicated(docs)) == sorted(kept, key=repr)
     renamed = docs.selectExpr("doc_id AS key", "text AS mark", "'x' AS doc_id")
     assert as_set(near_dup.deduplicated(renamed, id_col="key", text_col="mark")) == sorted(((*r, "x") for r in kept), key=repr)
+
+
+def exact_links(sets, percent=80):
+    """All pairs of different sets at the threshold or above, by the rarest shingles that such a pair must share."""
+    sets = sorted(set(sets), key=lambda s: (len(s), sorted(s)[:1]))
+    often = {}
+    for s in sets:
+        for x in s:
+            often[x] = often.get(x, 0) + 1
+    by, found = {}, []
+    for i, s in enumerate(sets):
+        first = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]
+        for j in {j for x in first for j in by.get(x, ())}:
+            c = len(s & sets[j])
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
+                found.append((sets[j], s))
+        for x in first:
+            by.setdefault(x, []).append(i)
+    return found
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_recall_of_links(spark, k):
+    """Every link between different texts joins two rows of one component, and components hold no other rows."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    comp = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, shingle=k).collect()}
+    of = {}
+    for r in docs.collect():
+        if s := shingles(r["text"], k):
+            of.setdefault(s, []).append(r["doc_id"])
+    links = exact_links(list(of))
+    assert links
+    assert all(comp[of[a][0]] == comp[of[b][0]] for a, b in links)
+    parent = {s: s for s in of}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    least = {}
+    for s, ids in of.items():
+        least[find(s)] = min(least.get(find(s), ids[0]), *ids)
+    assert all(comp[i] == least[find(s)] for s, ids in of.items() for i in ids)

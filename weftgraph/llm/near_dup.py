@@ -6,13 +6,16 @@ the smallest and the largest value are kept, so ``functions`` hash evaluations g
 only once the full sets confirm it, so bands decide recall alone: at the default 28 bands of
 4 rows a pair at a Jaccard similarity of exactly 0.8 is missed with a probability of 4e-7.
 
-No bucket is expanded into all its pairs. Shingles that no other candidate class holds can't be common
+Shingles that no other candidate class holds can't be common
 to any pair, so the rest bounds every intersection from above; classes that can't reach the threshold by
 that bound leave at once, and it is tested on each pair before any set is fetched. Every member is then
 compared with the leader of its bucket, the member with the fewest rare shingles: the likely origin of its
-copies. Pairs of different components that are left are either named by a shingle that two or three
+copies. So the members of a group of copies are one component after as many comparisons as the group has classes.
+Pairs of different components that are left in a bucket are either named by a shingle that two or three
 classes hold, or share none of those, which tightens the bound until hardly any pair but true links
-passes. All pairs that pass are compared, so no link that could join two components is lost.
+passes. All pairs that pass are compared, so no link that could join two components is lost. Of a bucket in which
+many components meet, and which the bound thins out no further, the pairs are met in the join before they are
+tested; adaptive execution splits such a key over tasks, as it does with the labels of large components.
 
 Defined cases: null and empty texts have an empty set and no link; a text of fewer words than a
 shingle has its whole word sequence as its only shingle; documents of equal sets form one class,
@@ -233,9 +236,10 @@ def near_duplicates(
     smallest = grouped.groupBy("comp").agg(F.min("rid").alias("component_id"))
     final = grouped.join(smallest, "comp").select("cls", "component_id")
     extra = ["mark"] if marks else []
-    out = signed.select("doc_id", "cls", F.col("n").alias("n_shingles"), *extra).join(final, "cls", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), *extra).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = signed.select("doc_id", "cls", F.col("n").alias("n_shingles"), *extra)
+    linked = rows.filter("n_shingles > 0").join(final, "cls").select("doc_id", "n_shingles", "component_id", *extra)
+    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *extra)  # no key that all of them would meet at
+    return linked.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
