@@ -63,3 +63,18 @@ def test_defined_cases(spark, clashing, as_set):
     assert as_set(warc.round_trip(clashing(pages))) == by_hand(ROWS)
     assert warc.round_trip(pages.limit(0)).count() == 0
     assert as_set(warc.round_trip(pages.repartition(6))) == by_hand(ROWS)
+
+
+def test_a_payload_that_many_share_is_salted(spark):
+    """More salts for more copies; the records are as without salts."""
+    shared = spark.createDataFrame([("a", 2_000, 60_000), ("b", 2_000, 150), ("c", 2_000, 90)], "digest string, size long, c long")
+    assert {r["digest"]: r["salts"] for r in warc.salted(shared).collect()} == {"a": 600, "b": 2}
+    assert warc.salted(shared.limit(0)).count() == 0
+    pages = spark.range(700).selectExpr("id AS page_id", "'u' AS url", "CASE WHEN id % 10 < 6 THEN repeat('hot ', 500) ELSE repeat(concat('p', id % 100, ' '), 400) END AS html")
+    rows = warc.round_trip(pages).collect()
+    best = {}
+    for r in pages.collect():
+        best[r["html"]] = max(best.get(r["html"], -1), r["page_id"])
+    want = {r["page_id"]: None if best[r["html"]] == r["page_id"] else best[r["html"]] for r in pages.collect()}
+    assert {r["page_id"]: r["refers_to"] for r in rows} == want
+    assert len(rows) == 700

@@ -7,8 +7,8 @@ holds more than one chunk of an oversized record. Writer and reader carry an inc
 to chunk; the reader checks it against the header's payload digest.
 
 Of records with equal payloads of at least ``least`` bytes the one with the largest page_id is a response;
-the others are revisits, which name it and hold no payload. The join that finds them is salted by record, so
-that a payload that a third of all pages share is spread over many tasks.
+the others are revisits, which name it and hold no payload. In the join that finds them a payload that many pages
+share is salted by record: the more pages share it, the more salts it has, about one for ``SALT_ROWS`` pages.
 
 Defined cases: a null html is an empty payload; empty payloads are responses of length 0; rows that repeat a
 page_id are records of their own (equal rows with the largest id are all responses); rows with a null id are
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ship
 
-CHUNK, LEAST, SALTS = 1 << 20, 1000, 32
+CHUNK, LEAST, SALT_ROWS, MOST_HOT = 1 << 20, 1000, 20_000, 100_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 ROW = "record_id string, chunk_no int, n_chunks int, data binary, running_digest string"
 
@@ -108,6 +108,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
+def salted(shared: DataFrame, salt_rows: int = SALT_ROWS, most: int = MOST_HOT) -> DataFrame:
+    """digest, size, salts of the payloads (digest, size, c) that more pages share than one task should meet. Only a
+    ``most``-th part of all sharing pages counts as that many, so there are ``most`` rows at most, and they are broadcast."""
+    total = shared.agg(F.sum("c")).first()[0] or 0
+    least = max(100, total // most)
+    salts = F.ceil(F.col("c") / max(100, min(salt_rows, total // 1000))).cast("int")
+    return F.broadcast(shared.filter(F.col("c") > least).select("digest", "size", salts.alias("salts")))
+
+
 def record_table(pages: DataFrame, chunk: int = CHUNK, least: int = LEAST) -> DataFrame:
     """The archive of ``pages`` (page_id, url, html) as rows of record_id, chunk_no, n_chunks, data, running_digest."""
     ship(pages.sparkSession)
@@ -116,12 +125,15 @@ def record_table(pages: DataFrame, chunk: int = CHUNK, least: int = LEAST) -> Da
     whole = whole.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
     large = whole.filter(F.col("size") >= least)
     first = large.groupBy("digest", "size").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("c")).filter("c > 1 AND best IS NOT NULL")
-    first = first.select("digest", "size", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    first = materialize(first, "warc-shared")
+    hot = salted(first)
+    first = first.join(hot, ["digest", "size"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    first = first.select("digest", "size", "best", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     numbered = whole.withColumn("record_id", F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.hex(F.monotonically_increasing_id())))
     n = F.greatest(F.lit(1), F.ceil(F.col("size") / chunk)).cast("int")
     cut = numbered.withColumn("n_chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
     cut = cut.withColumn("chunk", F.expr(f"substring(payload, chunk_no * {chunk} + 1, {chunk})")).drop("payload")
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+    cut = cut.join(hot, ["digest", "size"], "left").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     joined = cut.join(first, ["digest", "size", "salt"], "left")
     again = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     joined = joined.withColumn("kind", F.when(again, F.lit("revisit")).otherwise(F.lit("response")))
