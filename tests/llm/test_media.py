@@ -3,6 +3,7 @@
 import hashlib
 import io
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -113,3 +114,28 @@ def test_query_reads_what_it_stored(spark, sf_dir):
     files = queries.op6_media_columns(spark, sf_dir).inputFiles()
     assert files
     assert all("/weftgraph/media-" in f for f in files)
+
+
+def test_tiles_are_npy_and_hash_to_the_feature(spark):
+    docs = spark.createDataFrame([(i, "".join(chr(33 + (i * j) % 90) for j in range(n))) for i, n in enumerate((1, 575, 577, 40_000), 1)], "doc_id long, text string")
+    for r in media.payload_features(media.stored(docs)).collect():
+        tile = np.load(io.BytesIO(r["tile"]), allow_pickle=False)
+        assert (tile.shape, tile.dtype) == ((8, 9), np.uint8)
+        assert len(r["feature"]) == 16
+
+
+def test_resizing_keeps_few_rows(monkeypatch):
+    """By bands of any height the same means, and no array of the image's own height."""
+    rng = np.random.default_rng(12)
+    image = rng.integers(0, 256, (5_000, 576), dtype=np.uint8)
+    want = media.area_resize(image, 8, 9)
+    assert np.allclose(want[0, 0], image[:625, :64].mean())
+    for band in (1, 7, 624, 10_000):
+        monkeypatch.setattr(media, "_BAND", band)
+        assert np.array_equal(media.area_resize(image, 8, 9), want)
+    monkeypatch.setattr(media, "_BAND", 256)
+    tracemalloc.start()
+    media.area_resize(image, 8, 9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * image.size

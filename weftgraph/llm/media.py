@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-WIDTH, TAIL, HASH_W, HASH_H = 576, 32, 9, 8
+WIDTH, TAIL, HASH_W, HASH_H, _BAND = 576, 32, 9, 8, 1024
 _FIELD = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([0-9]+)")
 
 
@@ -105,28 +105,43 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def grey(image: np.ndarray) -> np.ndarray:
-    return image.astype(np.float64) if image.ndim == 2 else image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
+    return image if image.ndim == 2 else image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's exact area, from the integral image (sums stay exact for integer samples)."""
-    h, w = image.shape[:2]
-    total = np.zeros((h + 1, w + 1, *image.shape[2:]))
-    total[1:, 1:] = image.astype(np.float64).cumsum(axis=0).cumsum(axis=1)
-
-    def edge(a: np.ndarray, n: int, cells: int, axis: int) -> np.ndarray:
-        at = np.arange(cells + 1) * n / cells
-        lo = np.minimum(at.astype(int), n - 1)
-        part = (at - lo).reshape([-1 if i == axis else 1 for i in range(a.ndim)])
-        return np.take(a, lo, axis) * (1 - part) + np.take(a, lo + 1, axis) * part
+    """Mean over each target cell's exact area, from the integral image (sums stay exact for integer samples).
 
-    grid = edge(edge(total, h, height, 0), w, width, 1)
+    The integral image is made ``_BAND`` rows at a time, and only its rows beside a cell's edge are kept.
+    """
+    h, w = image.shape[:2]
+    at = np.arange(height + 1) * h / height
+    lo = np.minimum(at.astype(int), h - 1)
+    need = np.unique(np.concatenate([lo, lo + 1]))
+    kept = np.zeros((len(need), w, *image.shape[2:]))
+    above = np.zeros((1, w, *image.shape[2:]))
+    for top in range(0, h, _BAND):
+        sums = above + image[top : top + _BAND].cumsum(axis=0, dtype=np.float64)
+        own = np.nonzero((need > top) & (need <= top + len(sums)))[0]
+        kept[own] = sums[need[own] - top - 1]
+        above = sums[-1:]
+    total = np.zeros((len(need), w + 1, *image.shape[2:]))
+    total[:, 1:] = kept.cumsum(axis=1)
+    part = (at - lo).reshape([-1] + [1] * (image.ndim - 1))
+    rows = total[np.searchsorted(need, lo)] * (1 - part) + total[np.searchsorted(need, lo + 1)] * part
+    across = np.arange(width + 1) * w / width
+    left = np.minimum(across.astype(int), w - 1)
+    share = (across - left).reshape([1, -1] + [1] * (image.ndim - 2))
+    grid = rows[:, left] * (1 - share) + rows[:, left + 1] * share
     return np.diff(np.diff(grid, axis=0), axis=1) / (h / height * w / width)
 
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits, one for each cell that is darker than its right neighbour in a 9 x 8 grey tile."""
-    small = np.round(area_resize(grey(image), HASH_H, HASH_W), 6)
+    return _darker(area_resize(grey(image), HASH_H, HASH_W))
+
+
+def _darker(cells: np.ndarray) -> str:
+    small = np.round(cells, 6)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
@@ -187,15 +202,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in b.column(2):
             media = cell.as_py()
             image = decode(media)
-            payload = image.tobytes()
-            tile = np.rint(area_resize(image, HASH_H, HASH_W)).astype(np.uint8)
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(npy(tile)).hexdigest()))
+            cells = area_resize(image, HASH_H, HASH_W)
+            tail = image[-1, -TAIL:].tobytes()
+            out.append((image.size, hashlib.sha256(image).hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), _darker(cells), npy(np.rint(cells).astype(np.uint8))))
         cols = list(zip(*out, strict=True)) or [()] * 7
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", *_NAMES])
 
 
-_NAMES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256")
+_NAMES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -206,8 +221,9 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def payload_features(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold when they are read back; ``feature`` is the difference hash."""
+    """What the stored bytes hold when they are read back; ``feature`` is the difference hash, ``tile`` the NPY bytes of
+    the 9 x 8 means that it comes from."""
     ship(media.sparkSession)
     slim = media.select("doc_id", "n_bytes", "media")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(_features, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string")
+    return slim.mapInArrow(_features, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")
