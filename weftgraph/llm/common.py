@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    A folder of our own is set only where the session has none (tests, one machine).
+    A folder of our own is set only where the session has none and driver and executors are one process (tests).
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -28,6 +29,8 @@ def shared_root(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return str(current.get()).rstrip("/")
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="weftgraph-checkpoints-")
     spark.sparkContext.setCheckpointDir(local)
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
@@ -38,7 +41,7 @@ def _forget(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has already ended; its folder goes with it
+    except (Py4JError, AttributeError, OSError):  # the session has already ended; its folder goes with it
         return
 
 
