@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. ``run`` writes each
 stage's result to the folder in ``spark.checkpoint.dir`` and reads it again.
+
+Defined cases, as the stages' modules have them: null and empty texts get the score of a text without words, have no
+copies and aren't taken into the mix, as they have no words; without labels nothing is toxic; of rows that repeat an id
+and a text all stay or go together, and rows that repeat an id with other texts, or have none, are judged by their
+own text; ties go to the smallest id; texts of any length are handled whole; columns beyond those of documents pass
+the first three stages unchanged, whatever they are called; an empty table stays empty.
 """
 
 from __future__ import annotations

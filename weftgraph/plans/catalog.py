@@ -12,7 +12,7 @@ from ..operators import paths
 from ..operators.traversal import Traversal
 from ..sources.export import simple_edges
 from ..sources.files import edge_list
-from ..sources.star import STEP, Star
+from ..sources.star import LINES, STEP, Star
 from ..storage import fresh_path, numbered
 from .commands import replay
 
@@ -30,8 +30,8 @@ _VIEWS = {
     "in_region": f"SELECT {1 * STEP} + n_nationkey AS id, {2 * STEP} + n_nationkey AS src, {1 * STEP} + n_regionkey AS dst FROM nation",
     "cust_nation": f"SELECT {2 * STEP} + c_custkey AS id, {3 * STEP} + c_custkey AS src, {2 * STEP} + c_nationkey AS dst FROM customer",
     "placed": f"SELECT {4 * STEP} + o_orderkey AS id, {3 * STEP} + o_custkey AS src, {6 * STEP} + o_orderkey AS dst, o_totalprice AS totalprice FROM orders",
-    "contains": f"SELECT {5 * STEP} + l_orderkey * 1024 + {_LINE} AS id, {6 * STEP} + l_orderkey AS src, {5 * STEP} + l_partkey AS dst, l_quantity AS quantity, l_extendedprice AS extendedprice, l_discount AS discount, l_returnflag AS returnflag, l_linenumber AS linenumber FROM lineitem",
-    "supplied": f"SELECT {6 * STEP} + l_orderkey * 1024 + {_LINE} AS id, {4 * STEP} + l_suppkey AS src, {5 * STEP} + l_partkey AS dst, l_quantity AS quantity FROM lineitem",
+    "contains": f"SELECT {5 * STEP} + l_orderkey * {LINES} + {_LINE} AS id, {6 * STEP} + l_orderkey AS src, {5 * STEP} + l_partkey AS dst, l_quantity AS quantity, l_extendedprice AS extendedprice, l_discount AS discount, l_returnflag AS returnflag, l_linenumber AS linenumber FROM lineitem",
+    "supplied": f"SELECT {6 * STEP} + l_orderkey * {LINES} + {_LINE} AS id, {4 * STEP} + l_suppkey AS src, {5 * STEP} + l_partkey AS dst, l_quantity AS quantity FROM lineitem",
     "ring": f"SELECT {8 * STEP} + n_nationkey * 2 + p AS id, {2 * STEP} + n_nationkey AS src, {2 * STEP} + (n_nationkey + d) % 25 AS dst, 1 + n_nationkey % 5 AS weight FROM nation, (VALUES (0, 1), (1, 7)) v(p, d)",
 }
 
@@ -114,7 +114,7 @@ query("SELECT id, name, brand FROM prt", P, name="data_fields")(lambda g: fields
 query("SELECT id, concat_ws('|', brand, type) AS flat FROM prt", P, name="data_flat")(lambda g: fields(g.V(), "brand", "type").select("id", F.concat_ws("|", "brand", "type").alias("flat")))
 query("SELECT dst AS id FROM placed JOIN cust ON src = cust.id WHERE mktsegment = 'BUILDING'", "customer order", "placed", name="ids")(lambda g: ids(g.V(mktsegment="BUILDING").outV()))
 query("SELECT id FROM nation_n", "nation", name="all_nodes")(lambda g: ids(g.V()))
-query("SELECT id AS id, 0::BIGINT AS rank FROM nation_n ORDER BY id LIMIT 1", "nation", name="next_node")(lambda g: g.V().limit(1).frame().select(F.col("_id").alias("id"), F.lit(0).cast("long").alias("rank")))
+query("SELECT (SELECT id FROM nation_n ORDER BY id LIMIT 1) AS first, (SELECT id FROM nation_n ORDER BY id LIMIT 1 OFFSET 1) AS second, (SELECT name FROM nation_n ORDER BY id LIMIT 1 OFFSET 1) AS name", "nation", name="next_node")(lambda g: (lambda t: one(g, first=t.next().get_id(), **(lambda n: {"second": n.get_id(), "name": n.name})(t.next())))(g.V()))
 
 # lookups
 for _name, _filters, _where in (
@@ -144,6 +144,9 @@ query("SELECT id FROM contains WHERE returnflag = 'R' AND quantity >= 20 AND qua
 # traversals
 query("SELECT dst AS id FROM placed JOIN cust ON src = cust.id WHERE acctbal < 500", "customer order", "placed", name="outv")(lambda g: ids(g.V(acctbal__lt=500).outV()))
 query("SELECT dst AS id FROM nation_n JOIN ring ON src = nation_n.id UNION ALL SELECT src FROM nation_n JOIN ring ON dst = nation_n.id", name="bothv")(lambda g: ids(g.V().bothV()))
+query("SELECT dst AS id FROM contains UNION ALL SELECT src FROM placed", "customer order part", PC, name="bothv_orders")(lambda g: ids(g.V(kind="order").bothV()))
+query("SELECT id FROM contains UNION ALL SELECT id FROM placed", "customer order part", PC, name="bothe_orders")(lambda g: ids(g.V(kind="order").bothE()))
+query("SELECT dst AS id, count(*) AS paths FROM contains WHERE quantity > 10 GROUP BY dst", "customer order part", PC, name="both_orders")(lambda g: counted(g.V(kind="order").both_(quantity__gt=10)))
 query("SELECT placed.id FROM placed JOIN cust ON src = cust.id WHERE mktsegment = 'MACHINERY' AND totalprice > 1000", "customer order", "placed", name="oute")(lambda g: ids(g.V(mktsegment="MACHINERY").outE(totalprice__gt=1000)))
 query("SELECT src AS id FROM contains", "part order", "contains", name="inv")(lambda g: ids(g.V(kind="part").inV()))
 query("SELECT id FROM contains WHERE returnflag = 'A'", "part", "contains", name="ine")(lambda g: ids(g.V(kind="part").inE(returnflag="A")))
@@ -196,14 +199,16 @@ _aggregate("sum_chain_compare", "sum(CASE WHEN CAST(1 < prt.size AS INT) < 3 THE
 _aggregate("sum_missing_alias", "sum(prt.size + 0)", lambda g: g.V(kind="order").aka("o").outV().sum("size + _.o.nothing + _.nobody.x"))
 query("WITH s AS (SELECT dst AS id, count(*) AS n FROM contains GROUP BY dst) SELECT id, round(n / sum(n) OVER (), 12) AS value FROM s", "order part", "contains", name="percent")(lambda g: g.V(kind="order").outV().percent().frame().select("id", F.round("value", 12).alias("value")))
 query("WITH s AS (SELECT dst AS id, sum(size) AS n FROM contains JOIN prt ON prt.id = dst GROUP BY dst) SELECT id, round(n / sum(n) OVER (), 12) AS value FROM s", "order part", "contains", name="percent_expr")(lambda g: g.V(kind="order").outV().percent("size").frame().select("id", F.round("value", 12).alias("value")))
-_TOP = "WITH s AS (SELECT o.dst AS id, CAST(count(*) AS BIGINT) AS value, min(cast(o.src AS HUGEINT) * 1000000000000 + o.id) AS first FROM contains o GROUP BY o.dst) SELECT id, value, row_number() OVER (ORDER BY value {}, first) AS rank FROM s ORDER BY rank LIMIT 15"
+_TOP = "WITH s AS (SELECT o.dst AS id, CAST(count(*) AS BIGINT) AS value, min(cast(o.src AS HUGEINT) * 100000000000000000 + o.id) AS first FROM contains o GROUP BY o.dst) SELECT id, value, row_number() OVER (ORDER BY value {}, first) AS rank FROM s ORDER BY rank LIMIT 15"
 query(_TOP.format("DESC"), "order part", "contains", name="sum_limit")(lambda g: top(g.V(kind="order").outV().sum(), 15))
 query(_TOP.removesuffix(" ORDER BY rank LIMIT 15").format("ASC"), "order part", "contains", name="sum_asc")(lambda g: ranked_all(g.V(kind="order").outV().sum(asc=True)._sorted().select(F.col("_id").alias("id"), F.col("_v").alias("value"))))
-query(f"WITH s AS (SELECT o.dst AS id, count(*) AS value, min(cast(o.src AS HUGEINT) * 1000000000000 + o.id) AS first FROM contains o GROUP BY o.dst), t AS (SELECT id FROM s ORDER BY value DESC, first LIMIT 5) SELECT src AS id, count(*) AS paths FROM contains WHERE dst IN (SELECT id FROM t) GROUP BY src", "order part", "contains", name="sum_entities_next")(lambda g: counted(g.V(kind="order").outV().sum().limit(5).entities().inV()))
+query(f"WITH s AS (SELECT o.dst AS id, count(*) AS value, min(cast(o.src AS HUGEINT) * 100000000000000000 + o.id) AS first FROM contains o GROUP BY o.dst), t AS (SELECT id FROM s ORDER BY value DESC, first LIMIT 5) SELECT src AS id, count(*) AS paths FROM contains WHERE dst IN (SELECT id FROM t) GROUP BY src", "order part", "contains", name="sum_entities_next")(lambda g: counted(g.V(kind="order").outV().sum().limit(5).entities().inV()))
 
 # order and limits
 for _name, _clauses, _order in (("order_asc", ("name",), "name, id"), ("order_desc", ("-retailprice",), "retailprice DESC, id"), ("order_mix", ("brand", "-size"), "brand, size DESC, id")):
     query(f"SELECT id, row_number() OVER (ORDER BY {_order}) AS rank FROM prt", P, name=_name)(lambda g, c=_clauses: ranked_all(g.V().order_by(*c).frame().select(F.col("_id").alias("id"))))
+for _name, _clause, _order in (("order_nulls_asc", "mktsegment", "mktsegment ASC NULLS FIRST, id"), ("order_nulls_desc", "-mktsegment", "mktsegment DESC NULLS LAST, id")):
+    query(f"SELECT id, row_number() OVER (ORDER BY {_order}) AS rank FROM (SELECT id, mktsegment FROM cust UNION ALL SELECT id, NULL FROM prt)", "customer part", name=_name)(lambda g, c=_clause: ranked_all(g.V().order_by(c).frame().select(F.col("_id").alias("id"))))
 query("SELECT id, row_number() OVER (ORDER BY size DESC, name, id) AS rank FROM prt ORDER BY rank LIMIT 50", P, name="order_limit")(lambda g: ranked(g.V().order_by("-size", "+name"), 50))
 query("SELECT dst AS id, row_number() OVER (ORDER BY src, id) AS rank FROM contains ORDER BY rank LIMIT 40", "order part", "contains", name="limit_ordered")(lambda g: ranked(g.V(kind="order").outV().limit(40), 40))
 
@@ -250,6 +255,33 @@ def bulk_add_nodes(g):
     return fields(g.V(), "name")
 
 
+@query(f"SELECT id, name FROM nation_n UNION ALL SELECT {2 * STEP + 25} + i, 'new ' || i FROM range(300) r(i)")
+def add_nodes(g):
+    """One by one: they wait in a buffer until the next read."""
+    for i in range(300):
+        g.add_node(name=f"new {i}")
+    return fields(g.V(), "name")
+
+
+@query(f"SELECT src, dst FROM ring UNION ALL SELECT {2 * STEP} + i % 25, {2 * STEP} + (i * 3) % 25 FROM range(100) r(i)")
+def add_edges(g):
+    for i in range(100):
+        g.add_edge(g.v(2 * STEP + i % 25), g.v(2 * STEP + (i * 3) % 25), no=i)
+    return g.edges.select("src", "dst")
+
+
+@query(f"SELECT 'node' AS part, id, CASE WHEN id = {2 * STEP + 3} THEN 'Third' ELSE name END AS name FROM nation_n WHERE id <> {2 * STEP + 1} UNION ALL SELECT 'node', {2 * STEP + 25}, 'Atlantis' UNION ALL SELECT 'edge', dst, NULL FROM ring WHERE {2 * STEP + 1} NOT IN (src, dst) UNION ALL SELECT 'edge', {2 * STEP + 25}, NULL")
+def change_set(g):
+    with g.batch() as b:
+        made = b.add_node(name="Atlantis")
+        b.add_edge(g.v(2 * STEP), made)
+        b.add_edge(g.v(2 * STEP + 1), made)
+        b.update(g.v(2 * STEP + 3), name="Third")
+        b.remove(g.v(2 * STEP + 1))
+    edges = g.edges.select(F.lit("edge").alias("part"), F.col("dst").alias("id"), F.lit(None).cast("string").alias("name"))
+    return fields(g.V(), "name").select(F.lit("node").alias("part"), "id", "name").union(edges)
+
+
 @query(f"SELECT id, src, dst FROM ring UNION ALL VALUES ({8 * STEP + 50}, {2 * STEP}, {2 * STEP + 2}), ({8 * STEP + 51}, {2 * STEP}, {2 * STEP})")
 def bulk_add_edges(g):
     g.bulk_add_edge([(g.v(2 * STEP), g.v(2 * STEP + 2), {"note": "new"}), (g.v(2 * STEP), g.v(2 * STEP), {})])
@@ -281,12 +313,31 @@ def json_roundtrip(g):
     return copy.nodes.join(out, copy.nodes["id"] == out["src"]).select("name", "kind", "outgoing")
 
 
+@query("SELECT c.name, c.acctbal, c.mktsegment, n.name AS nation FROM cust c JOIN cust_nation e ON e.src = c.id JOIN nation_n n ON n.id = e.dst", "customer nation", "cust_nation")
+def json_customers(g):
+    path = fresh_path(g.spark, "dump")
+    g.write(path)
+    copy = PropertyGraph.empty(g.spark)
+    copy.read(path)
+    nations = copy.nodes.filter("kind = 'nation'").select(F.col("id").alias("dst"), F.col("name").alias("nation"))
+    return copy.nodes.join(copy.edges.select("src", "dst"), F.expr("id = src")).join(nations, "dst").select("name", "acctbal", "mktsegment", "nation")
+
+
 @query("WITH n AS (SELECT id, name FROM nation_n ORDER BY id LIMIT 10) SELECT ring.src, ring.dst, a.name AS label FROM ring JOIN n a ON a.id = ring.src JOIN n b ON b.id = ring.dst")
 def dot_lines(g):
     nodes, edges = g.V().dot(node_label="name", limit=10).frames()
     return edges.drop("label").join(nodes.withColumnRenamed("id", "src"), "src").select("src", "dst", "label")
 
 
+_DOT = ("SELECT 'digraph G {' AS line", "SELECT '}'", r"""SELECT '  ' || id || ' [label="' || regexp_replace(name, '[^0-9a-zA-Z_\s]', '', 'g') || '"];' FROM nation_n """, """SELECT '  ' || src || ' -> ' || dst || ' [label="' || weight || '"];' FROM ring """)
+
+
+@query(" UNION ALL ".join(_DOT))
+def dot_text(g):
+    text = g.V().dot(node_label="name", edge_label="weight").to_dot()
+    return g.spark.createDataFrame([(line,) for line in text.split("\n")], "line string")
+
+
 query("SELECT src, dst, max(id) AS id FROM contains GROUP BY src, dst", "order", "contains", name="nx_edges")(lambda g: simple_edges(g).select("src", "dst", "id"))
 
 

@@ -1,7 +1,8 @@
 """The star-schema tables as one property graph.
 
-Node ids are ``type * 10^10 + key``, edge ids likewise, so that ids need no shuffle; only line items, whose
-key isn't unique, are numbered by a ranking of whole rows.
+Node ids are ``type * STEP + key``, edge ids likewise, so that ids need no shuffle; only line items, whose
+key isn't unique, are numbered by a ranking of whole rows. Keys of orders have room up to ``STEP / LINES`` and all ids
+are below 2^53, so that they survive as JSON numbers.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 
-STEP = 10**10
+STEP, LINES = 10**15, 1024
 NODE = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "order": 6, "user": 7, "event_type": 8}
 EDGE = {"in_region": 1, "cust_nation": 2, "supp_nation": 3, "placed": 4, "contains": 5, "supplied": 6, "did": 7, "ring": 8}
 
@@ -80,12 +81,13 @@ class Star:
     def _lines(self, rel: str) -> DataFrame:
         """Numbered in two steps: by order key in even ranges, then within an order, so no task sees all rows.
 
-        The id is ``order key * 2^10 + rank within the order``: unique, stable, and free of a global ranking.
+        The id is ``order key * LINES + rank within the order``: unique, stable, and free of a global ranking. An order of
+        more lines is an error.
         """
         l = self.table("lineitem")
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
         rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1
-        key = F.col("l_orderkey") * 1024 + rank
+        key = F.when(rank < LINES, F.col("l_orderkey") * LINES + rank).otherwise(F.raise_error(F.lit(f"an order of more than {LINES} lines")).cast("long"))
         if rel == "contains":
             return l.select(_id(rel, key, EDGE).alias("id"), _id("order", "l_orderkey").alias("src"), _id("part", "l_partkey").alias("dst"), F.lit(rel).alias("rel"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("returnflag"), F.col("l_linenumber").alias("linenumber"))
         return l.select(_id(rel, key, EDGE).alias("id"), _id("supplier", "l_suppkey").alias("src"), _id("part", "l_partkey").alias("dst"), F.lit(rel).alias("rel"), F.col("l_quantity").alias("quantity"))

@@ -13,12 +13,15 @@ _BLOCK = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share; one of our own only where none is set."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share; one of our own only where none is set
+    and driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
     return str(context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
