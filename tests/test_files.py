@@ -1,6 +1,7 @@
 """JSON dump, Parquet store, edge lists, Graphviz text, the star schema, numbering."""
 
 import json
+import sys
 
 import pytest
 
@@ -8,7 +9,7 @@ from weftgraph import errors
 from weftgraph.graph import PropertyGraph
 from weftgraph.sources.export import simple_edges
 from weftgraph.sources.files import ParquetStore, edge_list
-from weftgraph.sources.star import Star
+from weftgraph.sources.star import LINES, Star
 from weftgraph.storage import numbered
 
 
@@ -76,6 +77,33 @@ def test_simple_edges(trio):
     assert sorted((r["src"], r["dst"], r["label"]) for r in simple_edges(trio).collect()) == [(0, 1, "again"), (1, 2, "helps")]
 
 
+def test_networkx_graph(trio, monkeypatch):
+    """With a stand-in that keeps what it is given."""
+
+    class DiGraph:
+        def __init__(self):
+            self.nodes, self.edges = {}, {}
+
+        def add_nodes_from(self, rows):
+            self.nodes.update(dict(rows))
+
+        def add_edges_from(self, rows):
+            self.edges.update({(s, t): d for s, t, d in rows})
+
+    monkeypatch.setitem(sys.modules, "networkx", type(sys)("networkx"))
+    sys.modules["networkx"].DiGraph = DiGraph
+    trio.add_edge_by_ids(0, 1, label="again", id=7)
+    made = trio.nx_graph()
+    assert made.nodes[1] == {"rank": 1, "age": 30, "name": "Bo"}
+    assert made.edges == {(0, 1): {"label": "again", "id": 7}, (1, 2): {"label": "helps", "year": 1907, "town": "Oslo", "rank": "igloo"}}
+
+
+def test_an_order_of_too_many_lines_is_an_error(spark, tmp_path):
+    spark.range(LINES + 1).selectExpr("1L AS l_orderkey", "1L AS l_partkey", "1L AS l_suppkey", "int(id) AS l_linenumber", "1.0D AS l_quantity", "1.0D AS l_extendedprice", "0.0D AS l_discount", "0.0D AS l_tax", "'A' AS l_returnflag", "'F' AS l_linestatus", "timestamp_ntz'2020-01-01 00:00:00' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    with pytest.raises(Exception, match="an order of more than"):
+        Star(spark, str(tmp_path)).edges("contains").agg({"id": "max"}).collect()
+
+
 def test_networkx_is_optional(trio):
     try:
         import networkx  # noqa: F401
