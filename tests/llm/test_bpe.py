@@ -66,7 +66,7 @@ def test_what_is_remembered_is_bounded(ours, monkeypatch):
     for _ in range(30):
         texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(40)) for _ in range(2)]
         assert [ids.tolist() for ids in bpe._ids_of(ours, known, texts)] == [ours.encode(t) for t in texts]
-        assert known.size <= 5_000 + 2 * 40 * (bpe._ENTRY + 10 + 4 * 10)
+        assert known.size <= 2_500 + 2 * 80 * (bpe._ENTRY + 10 + 4 * 10)
 
 
 def test_pair_table():

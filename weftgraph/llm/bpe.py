@@ -31,7 +31,7 @@ from .common import ship
 MATRIX_WIDTH, CELLS = 256, 1 << 19
 NONE = np.int32(2**31 - 1)
 _EMPTY, _MULT = np.uint64(2**64 - 1), np.uint64(0x9E3779B97F4A7C15)
-_REMEMBERED, _ENTRY = 24 << 20, 200  # bytes of remembered pieces; of an entry besides its text and ids
+_REMEMBERED, _ENTRY = 64 << 20, 200  # bytes of remembered pieces; of an entry besides its text and ids
 
 
 class PairTable:
@@ -202,30 +202,40 @@ def _model(path: str, pattern: str) -> ByteBPE:
 
 
 class _Pieces(dict):
-    """piece -> its ids as int32 bytes, for the pieces seen of late."""
+    """piece -> its ids as int32 bytes. When half of the bound is full, what wasn't asked for since it was half full the
+    last time goes."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.size = 0
+        self.size, self.older = 0, {}
 
-    def learn(self, model: ByteBPE, fresh: list[str]) -> None:
-        if self.size > _REMEMBERED:
+    def learn(self, model: ByteBPE, pieces: set[str]) -> None:
+        """Have all of ``pieces``; new ones are encoded together."""
+        if self.size > _REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
             self.size = 0
-        raw = [p.encode() for p in fresh]
-        for p, b, ids in zip(fresh, raw, model.encode_pieces(raw), strict=True):
-            self[p] = np.array(ids, np.int32).tobytes()
-            self.size += _ENTRY + len(b) + 4 * len(ids)
+        fresh = []
+        for p in pieces:
+            if p not in self:
+                if p in self.older:
+                    self._put(p, self.older[p])
+                else:
+                    fresh.append(p)
+        for p, ids in zip(fresh, model.encode_pieces([p.encode() for p in fresh]), strict=True):
+            self._put(p, np.array(ids, np.int32).tobytes())
+
+    def _put(self, piece: str, ids: bytes) -> None:
+        self[piece] = ids
+        self.size += _ENTRY + len(piece) + len(ids)
 
 
 def _ids_of(model: ByteBPE, known: _Pieces, texts: list[str]) -> Iterator[np.ndarray]:
     """The ids of each text; new pieces of all texts are encoded together."""
-    if known.size > _REMEMBERED:
-        known.learn(model, [])
     parts = [model.split(t) for t in texts]
-    known.learn(model, list({p for pieces in parts for p in pieces if p not in known}))
+    known.learn(model, set().union(*parts))
     for pieces in parts:
-        yield np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
+        yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
 
 
 def _blocks(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
