@@ -22,8 +22,6 @@ the nearest long, and equal to others of that kind; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
