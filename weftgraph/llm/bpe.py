@@ -31,7 +31,7 @@ from .common import ship
 MATRIX_WIDTH, CELLS = 256, 1 << 19
 NONE = np.int32(2**31 - 1)
 _EMPTY, _MULT = np.uint64(2**64 - 1), np.uint64(0x9E3779B97F4A7C15)
-_REMEMBERED, _ENTRY = 64 << 20, 200  # bytes of remembered pieces; of an entry besides its text and ids
+_REMEMBERED, _ENTRY = 48 << 20, 200  # bytes of remembered pieces; of an entry besides its text and ids
 
 
 class PairTable:

@@ -55,8 +55,14 @@ def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: texts may be long, and JVM and worker both hold a batch.
+BATCH_ROWS, _BATCH_CONF, _BATCH_DEFAULT = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors, once a context."""
+    """Give this package to the executors, once a context; smaller Arrow batches where the session has Spark's own number."""
+    if spark.conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_weftgraph_shipped", False):
         return

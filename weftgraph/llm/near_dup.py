@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import materialize, ship
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 28, 4
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 100_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
