@@ -149,3 +149,88 @@ def test_few_labels_still_rank(spark):
     held = [(r["score"], r["toxic"]) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     s, y = (np.array(v) for v in zip(*held, strict=True))
     assert (s[y == 1][:, None] > s[y == 0][None, :]).mean() > 0.65
+
+
+def own_word(i):
+    return "".join(chr(97 + int(c)) for c in str(10_000 + i))
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """600 documents that each have a word of their own, every fifth toxic; two ids repeat, two have more labels, some no language."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"{own_word(i)} " + " ".join(own_word(9_000 + x) for x in rng.integers(0, 40, 12)) + (" vile" if i % 5 == 0 else ""), ("en", "de", None)[i % 3]) for i in range(600)]
+    docs = spark.createDataFrame([*rows, rows[1], rows[2]], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([*((i, int(i % 5 == 0)) for i in range(600)), (3, 0), (4, 1), (None, 1), (5_000, 1)], "doc_id long, toxic int")
+    return docs, labels
+
+
+@pytest.mark.parametrize("bound", [{"max_labelled": 50}, {"max_words": 200}])
+def test_all_labelled_rows_are_learnt_from_beyond_the_drivers_bounds(many, spark, monkeypatch, bound):
+    docs, labels = many
+    platt, calibrated = toxicity._platt, []
+    monkeypatch.setattr(toxicity, "_platt", lambda x, y, n=None: calibrated.append(len(x) if n is None else n.sum()) or platt(x, y, n))
+    model = toxicity.fit(docs, labels, **bound)
+    cache = toxicity._Ids()
+    learnt = [i for i in range(600) if model.words[toxicity.word_ids(own_word(i), cache)[0] >> 32].any()]
+    usable = labels.filter("crc32(cast(doc_id AS string)) % 4 <> 2").join(docs, "doc_id")
+    ids = {r["doc_id"] for r in usable.collect()}
+    assert set(learnt) <= ids
+    trained = usable.filter(usable["doc_id"].isin(learnt)).count()
+    assert trained + sum(calibrated) == usable.count()
+    assert 0.1 * len(ids) < len(ids) - len(learnt) < 0.3 * len(ids)
+    rows = toxicity.score(docs, model).join(labels, "doc_id").filter("crc32(cast(doc_id AS string)) % 4 = 2").collect()
+    assert min(r["score"] for r in rows if r["toxic"]) > max(r["score"] for r in rows if not r["toxic"])
+
+
+def test_a_fit_on_executors_is_the_same_however_rows_are_dealt(many):
+    docs, labels = many
+    a, b = (toxicity.fit(d, n, max_labelled=50, shard_rows=100) for d, n in ((docs, labels), (docs.repartition(7), labels.repartition(5))))
+    assert np.array_equal(a.flat(), b.flat())
+    assert a.scale == b.scale
+    assert a.thresholds == b.thresholds
+    assert a.thresholds.keys() <= {"en", "de", None}
+
+
+def test_counts_are_those_of_all_rows(many):
+    docs, labels = many
+    rows = toxicity._sharded(toxicity._labelled(docs, labels), 5)
+    n, pos, cache = np.zeros(sum(toxicity._TABLES)), np.zeros(sum(toxicity._TABLES)), toxicity._Ids()
+    for r in docs.join(labels, "doc_id").filter("crc32(cast(doc_id AS string)) % 4 <> 2").collect():
+        toxicity._count(n, pos, toxicity.word_ids(r["text"], cache), 1, r["toxic"])
+    got = toxicity._counts(rows)
+    assert np.array_equal(got[0], n)
+    assert np.array_equal(got[1], pos)
+
+
+def test_calibration_by_counts_is_calibration_by_rows():
+    rng = np.random.default_rng(4)
+    x, y, n = np.repeat(rng.normal(size=50).round(2), 2), np.tile([0.0, 1.0], 50), rng.integers(0, 5, 100)
+    langs = [("en", "de")[i // 2 % 2] for i in range(100)]
+    each = np.repeat(np.arange(100), n)
+    assert np.allclose(toxicity._platt(x, y, n), toxicity._platt(x[each], y[each]))
+    counted, rows = toxicity._thresholds(x, y, langs, n=n), toxicity._thresholds(x[each], y[each], [langs[i] for i in each])
+    assert counted.keys() == rows.keys() == {"en", "de"}
+    score = lambda cut, lang: [(v >= cut) for v, w, k in zip(x, langs, n, strict=True) if w == lang and k]
+    assert all(score(counted[w], w) == score(rows[w], w) for w in rows)
+
+
+def test_a_class_with_one_id_is_not_calibrated_on_executors(many, spark):
+    docs, labels = many
+    first = labels.filter("toxic = 1 AND crc32(cast(doc_id AS string)) % 4 <> 2 AND doc_id > 5 AND doc_id < 600").first()["doc_id"]
+    model = toxicity.fit(docs, labels.filter(f"toxic = 0 OR doc_id = {first}"), max_labelled=50)
+    assert model.scale == (1.0, 0.0)
+    assert model.thresholds == {}
+    none = toxicity.fit(docs, labels.filter("toxic = 0"), max_labelled=50)
+    assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
+
+
+def test_no_labelled_document_is_lost_before_the_join(many, monkeypatch):
+    docs, labels = many
+    want = toxicity._labelled(docs, labels)
+    for most in (27, 8):
+        monkeypatch.setattr(toxicity, "_MAX_LABEL_BITS", most)
+        assert toxicity._labelled(toxicity._likely(docs, labels), labels).exceptAll(want).count() == 0
+        assert want.exceptAll(toxicity._labelled(toxicity._likely(docs, labels), labels)).count() == 0
+    monkeypatch.undo()
+    assert toxicity._likely(docs, labels.filter("doc_id < 20")).count() < 100
