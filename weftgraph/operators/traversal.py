@@ -2,8 +2,9 @@
 
 A traversal compiles to one DataFrame when a result is asked for. In row mode each path is a row: ``_id``, its
 ordinal ``_ord`` (root id, then one edge id for each expansion: lexicographic order is depth-first order) and a
-column for each alias. In bag mode equal ids are merged after every hop into ``_m`` (number of
-paths) with the smallest ordinal, so that counts and sums don't enumerate paths.
+column for each alias. In bag mode rows of equal ids are merged before every further hop into ``_m`` (number of
+paths) with the smallest ordinal, so that counts and sums don't enumerate paths. An alias that a later step reads keeps
+rows apart until then; the others are dropped.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ if TYPE_CHECKING:
     from ..graph import Snapshot
 
 ROW = frozenset(("_id", "_ord"))
+SPREAD, MOST_TASKS = 2 << 20, 1 << 16  # bytes of edges (sources and targets) for a task
 METHODS = ("inV", "outV", "bothV", "inE", "outE", "bothE")
 
 
@@ -35,12 +37,44 @@ class Frame:
     df: DataFrame
     kind: str  # "v" or "e"
     bag: bool
+    apart: bool = True  # no two rows have the same id and aliases, as far as merging goes
+    here: frozenset[str] = frozenset()  # columns of the aliases bound since the last hop: they equal _id
 
     def carried(self) -> list[str]:
         return [c for c in self.df.columns if c not in ROW]
 
+    def only(self, aliases: frozenset[str]) -> Frame:
+        """In bag mode, without the columns of other aliases."""
+        gone = [c for c in self.carried() if c.startswith("_a_") and c[3:] not in aliases] if self.bag else []
+        return replace(self, df=self.df.drop(*gone), apart=self.apart and self.here.issuperset(gone), here=self.here.difference(gone))
 
-Step = Callable[[Frame], Frame]
+    def merged(self, edges: DataFrame) -> Frame:
+        """In bag mode, one row for each id and aliases, to hop from; columns that equal ``_id`` are no keys.
+
+        Rows that leave different fresh aliases never merge again, so that hop gives a row for each pair of neighbours
+        however few nodes it starts from: its tasks go by the size of the edges.
+        """
+        if not self.bag:
+            return self
+        df = self.df.drop(*self.here)
+        if not self.apart:
+            df = df.groupBy("_id", *(c for c in self.carried() if c != "_m" and c not in self.here)).agg(F.min("_ord").alias("_ord"), F.sum("_m").alias("_m"))
+        if self.here:
+            size = int(edges.select("src", "dst")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+            tasks = -(-size // SPREAD)
+            df = df.repartition(tasks, "_id") if 1 < tasks <= MOST_TASKS else df  # beyond: of unknown size
+            df = df.select("*", *(F.col("_id").alias(c) for c in sorted(self.here)))
+        return replace(self, df=df, apart=True)
+
+
+Run = Callable[[Frame], Frame]
+
+
+@dataclass(frozen=True)
+class Step:
+    run: Run
+    reads: frozenset[str] = frozenset()  # aliases
+    binds: str | None = None
 
 
 def hops(args: tuple) -> int:
@@ -65,10 +99,8 @@ def _step(f: Frame, near: DataFrame, to: str, ordinal: Column) -> DataFrame:
     return joined.select(F.col(to).alias("_id"), ordinal.alias("_ord"), *f.carried())
 
 
-def _merged(f: Frame, df: DataFrame, kind: str) -> Frame:
-    if f.bag:
-        df = df.groupBy("_id").agg(F.min("_ord").alias("_ord"), F.sum("_m").alias("_m"))
-    return Frame(df, kind, f.bag)
+def _moved(f: Frame, df: DataFrame, kind: str) -> Frame:
+    return Frame(df, kind, f.bag, apart=False)
 
 
 def _only(df: DataFrame, s: Snapshot, kind: str, filters: dict) -> DataFrame:
@@ -78,8 +110,9 @@ def _only(df: DataFrame, s: Snapshot, kind: str, filters: dict) -> DataFrame:
     return df.join(keep, df["_id"] == keep["_k"], "left_semi")
 
 
-def vertex_hop(s: Snapshot, direction: str, filters: dict) -> Step:
+def vertex_hop(s: Snapshot, direction: str, filters: dict) -> Run:
     def run(f: Frame) -> Frame:
+        f = f.merged(s.edges)
         if f.kind == "e":
             e = s.edges.select(F.col("id").alias("_s"), "src", "dst")
             if direction == "both":
@@ -90,27 +123,29 @@ def vertex_hop(s: Snapshot, direction: str, filters: dict) -> Step:
         else:
             tail = F.array("_e", "_side") if direction == "both" else F.array("_e")
             df = _step(f, neighbours(s, direction, {}), "_t", F.concat("_ord", tail))
-        return _merged(f, _only(df, s, "v", filters), "v")
+        return _moved(f, _only(df, s, "v", filters), "v")
 
     return run
 
 
-def edge_hop(s: Snapshot, direction: str, filters: dict) -> Step:
+def edge_hop(s: Snapshot, direction: str, filters: dict) -> Run:
     def run(f: Frame) -> Frame:
+        f = f.merged(s.edges)
         tail = F.array("_e", "_side") if direction == "both" else F.array("_e")
-        return _merged(f, _step(f, neighbours(s, direction, filters), "_e", F.concat("_ord", tail)), "e")
+        return _moved(f, _step(f, neighbours(s, direction, filters), "_e", F.concat("_ord", tail)), "e")
 
     return run
 
 
-def along_hop(s: Snapshot, direction: str, filters: dict) -> Step:
+def along_hop(s: Snapshot, direction: str, filters: dict) -> Run:
     """An edge step and the vertex beyond it, fused into one join."""
 
     def run(f: Frame) -> Frame:
+        f = f.merged(s.edges)
         if direction != "both":
-            return _merged(f, _step(f, neighbours(s, direction, filters), "_t", F.concat("_ord", F.array("_e"))), "v")
+            return _moved(f, _step(f, neighbours(s, direction, filters), "_t", F.concat("_ord", F.array("_e"))), "v")
         near = neighbours(s, "both", filters).filter("_s <> _t")
-        return _merged(f, _step(f, near, "_t", F.concat(F.array("_side"), "_ord", F.array("_e"))), "v")
+        return _moved(f, _step(f, near, "_t", F.concat(F.array("_side"), "_ord", F.array("_e"))), "v")
 
     return run
 
@@ -118,8 +153,9 @@ def along_hop(s: Snapshot, direction: str, filters: dict) -> Step:
 class Traversal:
     """A bag of entities of one kind; each method returns a new one."""
 
-    def __init__(self, snapshot: Snapshot, source: DataFrame, kind: str, steps: tuple = (), kinds: tuple = (), aliases: dict | None = None, by_rows: bool = False):
-        self._s, self._source, self._steps, self._aliases, self._by_rows = snapshot, source, steps, aliases or {}, by_rows
+    def __init__(self, snapshot: Snapshot, source: DataFrame, kind: str, steps: tuple = (), kinds: tuple = (), aliases: dict | None = None, rows: int = 0):
+        """The first ``rows`` steps need each path as a row of its own."""
+        self._s, self._source, self._steps, self._aliases, self._rows = snapshot, source, steps, aliases or {}, rows
         self._kinds = kinds or (kind,)
 
     # ------------------------------------------------------------------ building
@@ -128,12 +164,24 @@ class Traversal:
     def kind(self) -> str:
         return self._kinds[-1]
 
-    def _then(self, step: Step, kind: str | None = None, by_rows: bool = False, **aliases: str) -> Traversal:
-        return Traversal(self._s, self._source, self._kinds[0], (*self._steps, step), (*self._kinds, kind or self.kind), self._aliases | aliases, self._by_rows or by_rows)
+    def _then(self, run: Run, kind: str | None = None, by_rows: bool = False, reads: Iterable[str] = (), binds: str | None = None) -> Traversal:
+        steps = (*self._steps, Step(run, frozenset(reads), binds))
+        aliases = self._aliases if binds is None else self._aliases | {binds: self.kind}
+        return Traversal(self._s, self._source, self._kinds[0], steps, (*self._kinds, kind or self.kind), aliases, len(steps) if by_rows else self._rows)
 
     def _frame(self, bag: bool = False) -> Frame:
-        df = self._source.withColumn("_m", F.lit(1).cast("long")) if bag else self._source
-        return reduce(lambda f, step: step(f), self._steps, Frame(df, self._kinds[0], bag))
+        f = Frame(self._source, self._kinds[0], bag=False)
+        if not bag:
+            return reduce(lambda f, step: step.run(f), self._steps, f)
+        live = [frozenset()]  # aliases read after each step, from the last one back
+        for step in reversed(self._steps):
+            live.append((live[-1] - {step.binds}) | step.reads)
+        live.reverse()
+        f = reduce(lambda f, step: step.run(f), self._steps[: self._rows], f)
+        f = replace(f, df=f.df.withColumn("_m", F.lit(1).cast("long")), bag=True, apart=not self._rows).only(live[self._rows])
+        for step, after in zip(self._steps[self._rows :], live[self._rows + 1 :]):
+            f = step.run(f).only(after)
+        return f
 
     def frame(self) -> DataFrame:
         """One row a path: ``_id``, ``_ord`` and a struct for each alias."""
@@ -141,8 +189,6 @@ class Traversal:
 
     def counts(self) -> DataFrame:
         """(_id, _ord, _m): each entity once, with its number of paths and its first ordinal."""
-        if self._by_rows:
-            return self.frame().groupBy("_id").agg(F.min("_ord").alias("_ord"), F.count(F.lit(1)).alias("_m"))
         df = self._frame(bag=True).df
         return df.groupBy("_id").agg(F.min("_ord").alias("_ord"), F.sum("_m").alias("_m"))
 
@@ -216,16 +262,16 @@ class Traversal:
             df = f.df.groupBy("_row").agg(F.min_by(rest, F.struct(drawn, "_ord")).alias("r")).select("r.*")
             return Frame(_only(df, self._s, kind, filters), kind, f.bag)
 
-        return moved._then(pick, kind)
+        return moved._then(pick, kind, by_rows=True)
 
     def filter(self, **filters: object) -> Traversal:
         self._s.check(self.kind, filters)
-        return self._then(lambda f: Frame(_only(f.df, self._s, f.kind, filters), f.kind, f.bag))
+        return self._then(lambda f: replace(f, df=_only(f.df, self._s, f.kind, filters)))
 
     def aka(self, alias: str) -> Traversal:
         """Bind each row's entity to a name; binding again overwrites."""
         col = f"_a_{alias}"
-        return self._then(lambda f: Frame(f.df.withColumn(col, F.col("_id")), f.kind, f.bag), by_rows=True, **{alias: self.kind})
+        return self._then(lambda f: replace(f, df=f.df.withColumn(col, F.col("_id")), here=f.here | {col}), binds=alias)
 
     def dedup(self, *aliases: str) -> Traversal:
         """The first row of each entity, or of each combination of alias entities and entity."""
@@ -237,9 +283,9 @@ class Traversal:
             rest = [c for c in f.carried()]
             keys = ["_id", *(f"_a_{a}" for a in aliases)]
             df = f.df.groupBy(*keys).agg(F.min("_ord").alias("_ord"), *(F.min_by(c, "_ord").alias(c) for c in rest if c not in keys))
-            return Frame(df.withColumn("_m", F.lit(1).cast("long")) if f.bag else df, f.kind, f.bag)
+            return replace(f, df=df.withColumn("_m", F.lit(1).cast("long")) if f.bag else df, apart=True)
 
-        return self._then(run)
+        return self._then(run, reads=aliases)
 
     def without(self, *aliases: str) -> Traversal:
         """Drop rows whose entity is what any of the aliases is bound to."""
@@ -247,7 +293,7 @@ class Traversal:
             if a not in self._aliases:
                 raise errors.UnknownAlias(a)
         same = [a for a in aliases if self._aliases[a] == self.kind]
-        return self._then(lambda f: Frame(reduce(lambda d, a: d.filter(F.col("_id") != F.col(f"_a_{a}")), same, f.df), f.kind, f.bag))
+        return self._then(lambda f: replace(f, df=reduce(lambda d, a: d.filter(F.col("_id") != F.col(f"_a_{a}")), same, f.df)), reads=same)
 
     def limit(self, n: int) -> Traversal:
         """The first n rows in traversal order."""
@@ -275,8 +321,6 @@ class Traversal:
     # ------------------------------------------------------------------ results
 
     def count(self) -> int:
-        if self._by_rows:
-            return self.frame().count()
         return self._frame(bag=True).df.agg(F.coalesce(F.sum("_m"), F.lit(0))).first()[0]
 
     def ids(self) -> list[int]:
